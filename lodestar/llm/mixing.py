@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import stored
 
 BLOCK_WORDS = 64
-DOCS_PER_SHARD = 20_000
+DOCS_PER_SHARD = 2_000
 MAX_REPEATS = 3
 SEED = "mix-1"
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from lodestar.llm.common import fold
+from lodestar.llm.common import fold, ship
 
 MAX_LABELLED = 4000
 PAIRS = 40_000
@@ -99,6 +99,7 @@ def utility_to_score(x: np.ndarray, model: dict) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
     """The model from labelled rows out of the held-out fold, at most max_labelled per class."""
+    ship(docs.sparkSession)
     rows = labels.where((fold() != 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of_doc"), F.col("quality").alias("of_label"))
     some = [rows.where(F.col("of_label") == q).orderBy(F.xxhash64("of_doc"), "of_doc").limit(max_labelled) for q in (0, 1)]
     chosen = F.broadcast(some[0].unionAll(some[1]))  # at most 2 * max_labelled ids

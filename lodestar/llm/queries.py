@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing, quality
+from lodestar.llm import mixing, neardup, quality
 from lodestar.llm.common import table
 
 
@@ -16,5 +16,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing}
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_neardup": op3_neardup}
 ORACLES: dict[str, str] = {}
