@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontam, linededup, mixing, neardup, quality
+from lodestar.llm import decontam, langid, linededup, mixing, neardup, quality
 from lodestar.llm.common import table
 
 
@@ -28,5 +28,10 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_neardup": op3_neardup, "op6_decontamination": op6_decontamination, "op7_linededup": op7_linededup}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_neardup": op3_neardup, "op6_decontamination": op6_decontamination, "op7_linededup": op7_linededup, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
