@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontam, langid, linededup, mixing, neardup, quality
+from lodestar.llm import decontam, langid, linededup, mixing, neardup, quality, urlfilter
 from lodestar.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,5 +37,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_neardup": op3_neardup, "op6_decontamination": op6_decontamination, "op7_linededup": op7_linededup, "op10_langid": op10_langid}
+QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_neardup": op3_neardup, "op4_urlfilter": op4_urlfilter, "op6_decontamination": op6_decontamination, "op7_linededup": op7_linededup, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
