@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontam, langid, linededup, mixing, neardup, quality, urlfilter, warc
+from lodestar.llm import decontam, langid, linededup, mixing, neardup, quality, topk, urlfilter, warc
 from lodestar.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -41,5 +46,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_neardup": op3_neardup, "op4_urlfilter": op4_urlfilter, "op6_decontamination": op6_decontamination, "op7_linededup": op7_linededup, "op9_warc": op9_warc, "op10_langid": op10_langid}
+QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_neardup": op3_neardup, "op4_urlfilter": op4_urlfilter, "op6_decontamination": op6_decontamination, "op7_linededup": op7_linededup, "op8_topk": op8_topk, "op9_warc": op9_warc, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
