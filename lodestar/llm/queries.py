@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontam, langid, linededup, mixing, neardup, quality, topk, urlfilter, warc
+from lodestar.llm import decontam, langid, linededup, mixing, neardup, pii, quality, topk, urlfilter, warc
 from lodestar.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,5 +50,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_neardup": op3_neardup, "op4_urlfilter": op4_urlfilter, "op6_decontamination": op6_decontamination, "op7_linededup": op7_linededup, "op8_topk": op8_topk, "op9_warc": op9_warc, "op10_langid": op10_langid}
+QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_neardup": op3_neardup, "op4_urlfilter": op4_urlfilter, "op5_pii": op5_pii, "op6_decontamination": op6_decontamination, "op7_linededup": op7_linededup, "op8_topk": op8_topk, "op9_warc": op9_warc, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
