@@ -9,7 +9,9 @@ benchmark's windows, word for word. Benchmark items of fewer than SPAN words
 are one window each and are looked up at every place, for the few lengths that
 occur.
 
-Only DataFrame operations run here. Fingerprints join the benchmark's distinct
+Only DataFrame operations run here. Computed arrays are exploded by
+explode_outer(): for explode() Catalyst infers a filter on the array's size
+that repeats the whole expression, inlined into its own lambdas. Fingerprints join the benchmark's distinct
 ones and windows its distinct ones, so a passage that a third of all documents
 share gives one row per place where it occurs, whatever number of items hold
 it. Spark broadcasts the benchmark only if its stored size allows; else both
@@ -71,7 +73,7 @@ def benchmark_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     width = F.least(F.size("words"), F.lit(span))
     places = F.sequence(F.lit(0), F.size("words") - width)
     windows = F.transform(places, lambda i: F.array_join(F.slice("words", i + 1, width), " "))
-    return items.select("item_id", width.alias("width"), F.explode(windows).alias("window")).distinct()
+    return items.select("item_id", width.alias("width"), F.explode_outer(windows).alias("window")).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -79,7 +81,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     of_items = stored(benchmark_windows(benchmark, span), "item-windows")
     windows = stored(of_items.select("width", "window").distinct(), "windows")
     items = benchmark.select(words_of().alias("words")).where(F.size("words") >= span)
-    bench = stored(with_fingerprints(with_grams(items, gram), span, gram).select(F.explode("prints").alias("print")).distinct(), "bench-prints")
+    bench = stored(with_fingerprints(with_grams(items, gram), span, gram).select(F.explode_outer("prints").alias("print")).where("print is not null").distinct(), "bench-prints")
     short = sorted(r["width"] for r in windows.where(F.col("width") < span).select("width").distinct().collect())  # at most span - 1 numbers
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -95,11 +97,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     reach = span - gram
     near = F.transform("grams", lambda x, i: F.when(F.array_contains("matches", x), F.sequence(F.greatest(F.lit(0), i - reach), i)).otherwise(F.array().cast("array<int>")))
     found = found.select(*key, "words", F.array_distinct(F.flatten(near)).alias("starts"))
-    found = found.select(*key, "words", F.explode("starts").alias("start")).where(F.col("start") + span <= F.size("words"))
+    found = found.select(*key, "words", F.explode_outer("starts").alias("start")).where(F.col("start") + span <= F.size("words"))
     runs = found.select(*key, "start", F.lit(span).alias("width"), F.array_join(F.slice("words", F.col("start") + 1, span), " ").alias("window"))
     for width in short:
         some = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of().alias("words")).dropDuplicates(key)
-        some = some.select(*key, F.explode(_short_windows(width)).alias("at"))
+        some = some.select(*key, F.explode_outer(_short_windows(width)).alias("at")).where("at is not null")
         runs = runs.unionAll(some.select(*key, "at.start", F.lit(width).alias("width"), "at.window"))
     hits = stored(runs.join(windows, ["width", "window"]), "hits")
 

@@ -41,7 +41,7 @@ _KEY = ["h1", "h2"]
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """Every judged line: doc, text_hash, place, line, n (words) and its 128-bit key."""
-    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("place", "line"))
     rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r"))).withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     return rows.where((F.col("n") >= min_words) & (F.col("line") != "")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
@@ -66,14 +66,14 @@ def _without(words: str, place: str) -> Column:
 def near_lines(lines: DataFrame, near_words: int) -> DataFrame:
     """Keys of the lines that have an earlier line within one edit (but not an equal one)."""
     long = lines.where(F.col("n") >= near_words)
-    ends = long.select(*_KEY, F.explode(_ends()).alias("end"))
+    ends = long.select(*_KEY, F.explode_outer(_ends()).alias("end"))
     shared = ends.groupBy("end").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("end")
     shared = stored(shared, "shared-ends")
     chosen = stored(ends.join(shared, "end", "left_semi").select(*_KEY).distinct(), "near-candidates")
     first = F.struct("doc", "text_hash", "place")
     some = stored(long.join(chosen, _KEY, "left_semi").groupBy(*_KEY).agg(F.min(first).alias("first"), F.first("line").alias("line")), "near-lines")
 
-    words = some.select(*_KEY, "first", F.posexplode(F.split("line", " ")).alias("i", "word"))
+    words = some.select(*_KEY, "first", F.posexplode_outer(F.split("line", " ")).alias("i", "word"))
     words = words.withColumns({"here": F.xxhash64("word", "i"), "left": F.xxhash64("word", F.col("i") - 1)})
     line, before = Window.partitionBy(*_KEY), Window.partitionBy(*_KEY).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     words = words.withColumns({
@@ -83,7 +83,7 @@ def near_lines(lines: DataFrame, near_words: int) -> DataFrame:
     replaced = F.struct(F.xxhash64(F.lit("replaced"), "n", "i", F.col("whole").bitwiseXOR(F.col("here"))).alias("key"), F.lit(0).alias("role"), F.col("i").alias("at"))
     deleted = F.struct(F.xxhash64(F.lit("whole"), F.col("n") - 1, F.col("upto").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("rest"))).alias("key"), F.lit(1).alias("role"), F.col("i").alias("at"))
     itself = F.struct(F.xxhash64(F.lit("whole"), "n", "whole").alias("key"), F.lit(2).alias("role"), F.lit(None).cast("int").alias("at"))
-    emitted = words.withColumn("v", F.explode(F.when(F.col("i") == 0, F.array(replaced, deleted, itself)).otherwise(F.array(replaced, deleted))))
+    emitted = words.withColumn("v", F.explode_outer(F.when(F.col("i") == 0, F.array(replaced, deleted, itself)).otherwise(F.array(replaced, deleted))))
     emitted = emitted.select("v.*", *_KEY, "first")
 
     hub = F.struct("first", "h1", "h2", "at")
