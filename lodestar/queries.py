@@ -1,10 +1,484 @@
-"""Registered queries of the search engine and their DuckDB counterparts."""
+"""Registered queries of the search engine and their DuckDB counterparts.
+
+Floats are rounded to six places, orders are total, and every column is named
+the same on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestar.functions import analyze, scalars
+from lodestar.functions.embedding import HashEmbedder
+from lodestar.operators import filters as flt
+from lodestar.operators import fusion, pdftext, segment, sequence, textsearch, vector
+from lodestar.plans import templates
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: the query of the search examples
+TERMS = "apache license version"
+QUERY_VEC = [((i * 37) % 64 - 32) / 32.0 for i in range(64)]
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as chunks: chunk_id, doc_id, source_uri, text, meta, ord."""
+    meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("n_chars"), F.col("n_chars").cast("string"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc_id"), F.concat(F.lit("store/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_uri"),
+        "text", meta.alias("meta"), F.col("doc_id").alias("ord"), F.lit(None).cast("long").alias("page_start"), F.lit(None).cast("long").alias("page_end"),
+    )
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as chunks: doc_id, ord, chunk_id, text, role."""
+    t = table(spark, sf_dir, "conversations")
+    return t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"), "text", "role")
+
+
+# --- text search ---
+
+_BM25 = f"""
+tok AS (SELECT CAST(doc_id AS VARCHAR) chunk_id, unnest({_TOKENS}) term FROM documents),
+stat AS (SELECT count(*) n, avg(len({_TOKENS})) avg_dl FROM documents),
+dl AS (SELECT CAST(doc_id AS VARCHAR) chunk_id, len({_TOKENS}) dl FROM documents),
+tf AS (SELECT chunk_id, term, count(*) tf FROM tok WHERE term IN ('apache', 'license', 'version') GROUP BY ALL),
+df AS (SELECT term, count(*) df FROM tf GROUP BY term),
+w AS (SELECT chunk_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl)) w
+      FROM tf JOIN df USING (term) JOIN dl USING (chunk_id), stat),
+scored AS (SELECT chunk_id, sum(w) raw, count(*) matched FROM w GROUP BY chunk_id)
+"""
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    rank = F.row_number().over(Window.orderBy(F.round("raw_score", 6).desc(), "chunk_id"))  # the rows are a top-k
+    return hits.select(rank.alias("rank"), "chunk_id", F.round("score", 6).alias("score"), F.round("raw_score", 6).alias("raw_score"))
+
+
+def _top(where: str) -> str:
+    return f"""WITH {_BM25} SELECT CAST(row_number() OVER (ORDER BY round(raw, 6) DESC, chunk_id) AS INTEGER) AS rank, chunk_id,
+    round(1 / (1 + exp(-raw)), 6) AS score, round(raw, 6) AS raw_score FROM (SELECT * FROM scored {where} ORDER BY round(raw, 6) DESC, chunk_id LIMIT 10)"""
+
+
+def _search(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    index = textsearch.build(documents(spark, sf_dir))
+    hits = textsearch.score_terms(index, index.terms_of(TERMS), mode == "and")
+    hits = hits.orderBy(F.round("raw_score", 6).desc(), "chunk_id").limit(10)
+    return _ranked(hits.withColumn("score", textsearch.logistic(F.col("raw_score"))))
+
+
+@query(_top(""))
+def text_or_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "or")
+
+
+@query(_top("WHERE matched = 3"))
+def text_and_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "and")
+
+
+@query(f"WITH {_BM25} SELECT chunk_id, round(1 / (1 + exp(-raw)), 6) AS tv, CASE WHEN matched = 3 THEN round(1 / (1 + exp(-raw)), 6) END AS tv_and, round(1 / (1 + exp(-raw)), 6) AS tv_or FROM scored")
+def text_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = textsearch.triple(textsearch.build(documents(spark, sf_dir)), TERMS)
+    return hits.select("chunk_id", *(F.round(c, 6).alias(c) for c in ("tv", "tv_and", "tv_or")))
+
+
+@query(
+    f"""WITH tok AS (SELECT doc_id, unnest(t) term, unnest(range(len(t))) pos FROM (SELECT doc_id, {_TOKENS} t FROM documents))
+    SELECT DISTINCT CAST(a.doc_id AS VARCHAR) AS chunk_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+    JOIN tok c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'the' AND b.term = 'apache' AND c.term = 'license'"""
+)
+def text_phrase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds the phrase."""
+    index = textsearch.build(documents(spark, sf_dir))
+    return textsearch.phrase_matches(index, index.terms_of("the apache license"))
+
+
+@query(
+    f"""WITH {_BM25} SELECT CAST(row_number() OVER (ORDER BY round(raw, 6) DESC, s.chunk_id) AS INTEGER) AS rank, s.chunk_id, round(raw, 6) AS raw_score
+    FROM (SELECT scored.* FROM scored JOIN documents d ON chunk_id = CAST(d.doc_id AS VARCHAR) WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src5', 'src10', 'src16', 'src19') AND lang <> 'fr'
+    ORDER BY round(raw, 6) DESC, chunk_id LIMIT 10) s"""
+)
+def text_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OR search under filters that never change a score."""
+    chunks = documents(spark, sf_dir)
+    index = textsearch.build(chunks)
+    wanted = flt.keep(chunks, [flt.DocIdIn(values=("src0", "src1", "src2", "src3", "src5", "src10", "src16", "src19")), flt.MetaIn(key="lang", values=("en", "de", "es"))]).select("chunk_id")
+    hits = textsearch.score_terms(index, index.terms_of(TERMS), False).join(wanted, "chunk_id", "left_semi")
+    return _ranked(hits.orderBy(F.round("raw_score", 6).desc(), "chunk_id").limit(10).withColumn("score", F.lit(0.0))).drop("score")
+
+
+@query(
+    """WITH g AS (SELECT item_id, unnest(flatten(list_transform(range(1, len(text) + 1), lambda i: list_transform([2, 3], lambda n: CASE WHEN i + n - 1 <= len(text) THEN substr(lower(text), i, n) END)))) term FROM benchmark)
+    SELECT term, count(*) AS n, count(DISTINCT item_id) AS n_items FROM g WHERE term IS NOT NULL GROUP BY term"""
+)
+def ngram_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = table(spark, sf_dir, "benchmark").select("item_id", F.explode_outer(analyze.ngrams(2, 3)(F.col("text"))).alias("term"))
+    return grams.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("n_items"))
+
+
+@query(f"SELECT doc_id, len({_TOKENS}) AS n_terms, len(list_distinct({_TOKENS})) AS n_distinct FROM documents")
+def analyzer_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = table(spark, sf_dir, "documents").select("doc_id", analyze.words(F.col("text")).alias("t"))
+    return terms.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT term, count(*) AS df, sum(tf) AS n FROM (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest({_TOKENS}) term FROM documents) GROUP BY ALL) GROUP BY term HAVING count(*) >= 5")
+def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document and collection frequency of every term of at least five documents."""
+    postings = textsearch.build(documents(spark, sf_dir)).postings
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).where("df >= 5")
+
+
+# --- vectors and fusion ---
+
+_Q = "[" + ", ".join(f"{x!r}" for x in QUERY_VEC) + "]"
+_COSINE = f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_Q} AS DOUBLE[]))"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vec"), "label")
+
+
+def _knn(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    scored = _vectors(spark, sf_dir).select("chunk_id", F.round(vector.cosine(F.col("vec"), QUERY_VEC), 6).alias("score"))
+    return scored.orderBy(F.col("score").desc(), "chunk_id").limit(k)
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS chunk_id, round({_COSINE}, 6) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10")
+def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir, 10)
+
+
+_LEGS = f"""WITH {_BM25}, txt AS (SELECT chunk_id, round(1 / (1 + exp(-raw)), 6) s FROM scored ORDER BY round(raw, 6) DESC, chunk_id LIMIT 100),
+vec AS (SELECT CAST(vec_id AS VARCHAR) chunk_id, round({_COSINE}, 6) s FROM embeddings ORDER BY 2 DESC, 1 LIMIT 10)"""
+
+
+def _text_leg(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
+    index = textsearch.build(documents(spark, sf_dir))
+    hits = textsearch.score_terms(index, index.terms_of(TERMS), False).orderBy(F.round("raw_score", 6).desc(), "chunk_id").limit(k)
+    return hits.select("chunk_id", F.round(textsearch.logistic(F.col("raw_score")), 6).alias("score"))
+
+
+@query(
+    f"""{_LEGS} SELECT chunk_id, round(0.5 * coalesce(txt.s, 0) + 0.5 * coalesce(vec.s, 0), 6) AS score
+    FROM txt FULL JOIN vec USING (chunk_id) ORDER BY 2 DESC, 1 LIMIT 10"""
+)
+def hybrid_fusion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fusion.hybrid(_text_leg(spark, sf_dir), _knn(spark, sf_dir, 10), 0.5, 0.5, 10_000)
+    return hits.select("chunk_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "chunk_id").limit(10)
+
+
+@query(
+    f"""{_LEGS}, j AS (SELECT chunk_id, txt.s t, vec.s v FROM txt FULL JOIN vec USING (chunk_id))
+    SELECT chunk_id, round(0.2 * coalesce(t, 0) + 0.8 * coalesce(v, 0), 6) AS hybrid, round(coalesce(t, 0), 6) AS text_mode, round(coalesce(v, 0), 6) AS vec_mode,
+    round(0.2 * coalesce(t, 0) + 0.7 * coalesce(v, 0), 6) AS fixed FROM j"""
+)
+def hybrid_weighted_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused score of every candidate under each mode and preset."""
+    wide = fusion.pivot_legs({"tv_or": _text_leg(spark, sf_dir), "vec": _knn(spark, sf_dir, 10)})
+    everything = 1 << 30
+    out = fusion.fuse(wide, fusion.PRESET_NORMALISED, "hybrid", everything).withColumnRenamed("score", "hybrid")
+    out = fusion.fuse(out, {"tv_or": 0.2, "vec": 0.7}, "hybrid", everything, normalise=False).withColumnRenamed("score", "fixed")
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return out.select("chunk_id", F.round("hybrid", 6).alias("hybrid"), zero("tv_or").alias("text_mode"), zero("vec").alias("vec_mode"), F.round("fixed", 6).alias("fixed"))
+
+
+@query(
+    f"""{_LEGS} SELECT chunk_id, score, len(text) AS n_chars, source, CASE WHEN len(text) > 80 THEN translate(substr(text, 1, 80), chr(10) || chr(13) || chr(9), '   ') || '…' ELSE translate(text, chr(10) || chr(13) || chr(9), '   ') END AS preview
+    FROM (SELECT chunk_id, s AS score FROM txt ORDER BY s DESC, chunk_id LIMIT 5) h JOIN documents d ON h.chunk_id = CAST(d.doc_id AS VARCHAR)"""
+)
+def hydrate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narrow top-k first, then the rows of the hits."""
+    hits = _text_leg(spark, sf_dir).orderBy(F.col("score").desc(), "chunk_id").limit(5)
+    full = fusion.project_hits(fusion.hydrate(hits, documents(spark, sf_dir)))
+    return full.select("chunk_id", "score", F.length("text").cast("long").alias("n_chars"), F.col("doc_id").alias("source"), "preview")
+
+
+@query("SELECT label, dim, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) x FROM embeddings) GROUP BY label, dim")
+def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = vector.mean_by(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return pooled.select("label", F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS text, printf('%.6f', CAST(embedding[1] AS DOUBLE)) AS emb_0, printf('%.6f', CAST(embedding[2] AS DOUBLE)) AS emb_1, printf('%.6f', CAST(embedding[64] AS DOUBLE)) AS emb_63 FROM embeddings")
+def embedding_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.export_table(_vectors(spark, sf_dir), "chunk_id", "vec", 64).select("text", "emb_0", "emb_1", "emb_63")
+
+
+@query()
+def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents by the deterministic embedder."""
+    return table(spark, sf_dir, "documents").select("doc_id", HashEmbedder(dim=16).column(F.substring("text", 1, 8192)).alias("vec"))
+
+
+# --- filters ---
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with the filterable columns: doc_id, source_uri, extracted_at, meta."""
+    e = table(spark, sf_dir, "events")
+    meta = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("event_type"), F.col("event_type")))
+    return e.select("event_id", F.col("user_id").cast("string").alias("doc_id"), F.concat(F.lit("ev/"), "event_type", F.lit("/"), F.col("event_id").cast("string")).alias("source_uri"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("extracted_at"), meta.alias("meta"))
+
+
+def _filtered(*clauses: flt.Clause) -> Query:
+    return lambda spark, sf_dir: flt.keep(_events(spark, sf_dir), list(clauses)).select("event_id", "doc_id")
+
+
+_EVENT = "SELECT event_id, CAST(user_id AS VARCHAR) AS doc_id FROM events WHERE "
+_ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S')"
+_K = "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)"
+for _name, _clauses, _where in (
+    ("filter_doc_eq", [flt.DocIdEq(value="7")], "user_id = 7"),
+    ("filter_doc_in", [flt.DocIdIn(values=("1", "2", "3", "5", "8"))], "user_id IN (1, 2, 3, 5, 8)"),
+    ("filter_doc_in_empty", [flt.DocIdIn(values=())], "false"),
+    ("filter_prefix", [flt.SourceUriPrefix(prefix="ev/c")], "starts_with(event_type, 'c')"),
+    ("filter_meta_eq", [flt.MetaEq(key="k", value="7")], "json_extract_string(props, '$.k') = '7'"),
+    ("filter_meta_in", [flt.MetaIn(key="k", values=("1", "3", "99"))], "json_extract_string(props, '$.k') IN ('1', '3', '99')"),
+    ("filter_num_range", [flt.RangeNumeric(key="k", low=10, high=20, high_open=True)], f"{_K} >= 10 AND {_K} < 20"),
+    ("filter_num_unparsable", [flt.RangeNumeric(key="event_type", low=-1)], "false"),
+    ("filter_iso_range", [flt.RangeIsoDate(key="extracted_at", low="2024-01-05", high="2024-01-20", low_open=True)], f"{_ISO} > '2024-01-05' AND {_ISO} <= '2024-01-20'"),
+    ("filter_iso_range_time", [flt.RangeIsoDate(key="extracted_at", low="2024-01-05T00:00:00", high="2024-01-20T12:00:00", high_open=True, as_timestamp=True)], "ts >= TIMESTAMP '2024-01-05' AND date_trunc('second', ts) < TIMESTAMP '2024-01-20 12:00:00'"),
+    ("filter_all", [flt.MetaEq(key="event_type", value="click"), flt.RangeNumeric(key="k", high=50), flt.SourceUriPrefix(prefix="ev/")], f"event_type = 'click' AND {_K} <= 50"),
+):
+    QUERIES[_name], ORACLES[_name] = _filtered(*_clauses), _EVENT + _where
+
+
+@query(
+    f"""WITH {_BM25} SELECT chunk_id, round(raw, 6) AS raw_score FROM (SELECT * FROM scored ORDER BY round(raw, 6) DESC, chunk_id LIMIT 100)
+    JOIN documents d ON chunk_id = CAST(d.doc_id AS VARCHAR) WHERE d.lang = 'de'"""
+)
+def filter_post_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clause that is applied only after the fetch limit."""
+    chunks = documents(spark, sf_dir)
+    index = textsearch.build(chunks)
+    hits = textsearch.score_terms(index, index.terms_of(TERMS), False).orderBy(F.round("raw_score", 6).desc(), "chunk_id").limit(100)
+    late = flt.keep(chunks, [flt.MetaEq(flt.Kind.POST_ONLY, "lang", "de")]).select("chunk_id")
+    return hits.join(late, "chunk_id", "left_semi").select("chunk_id", F.round("raw_score", 6).alias("raw_score"))
+
+
+# --- lists ---
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_uri"), F.col("n_chars").alias("file_size_bytes"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 7).alias("page_count"), F.lit(None).cast("long").alias("chunk_count"), F.col("lang").alias("author_guess"))
+
+
+@query("SELECT doc_id, n_chars AS file_size_bytes FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 40")
+def files_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.page(_files(spark, sf_dir), [F.col("file_size_bytes").desc(), F.col("doc_id")], 20, 40).select("doc_id", "file_size_bytes")
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 END, 0) DESC, doc_id) AS INTEGER) AS place FROM documents QUALIFY place <= 50")
+def files_sorted_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = sequence.sort_files(_files(spark, sf_dir), "pages", descending=True).limit(50)
+    return top.select("doc_id", F.row_number().over(Window.orderBy(F.coalesce("page_count", F.lit(0)).desc(), "doc_id")).alias("place"))
+
+
+@query("SELECT doc_id, place FROM (VALUES (5, 0), (3, 2), (11, 3)) v(id, place) JOIN documents ON doc_id = id")
+def lookup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sequence.lookup(documents(spark, sf_dir), ["5", "no such", "3", "11", "3"], "chunk_id")
+    places = F.when(F.col("chunk_id") == "5", 0).when(F.col("chunk_id") == "3", 2).otherwise(3)
+    return found.select(F.col("chunk_id").cast("long").alias("doc_id"), places.alias("place"))
+
+
+# --- order within a document ---
+
+
+@query("SELECT conv_id || '#' || turn AS chunk_id, lag(conv_id || '#' || turn) OVER w AS prev_id, lead(conv_id || '#' || turn) OVER w AS next_id FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, conv_id || '#' || turn)")
+def chunk_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.neighbours(turns(spark, sf_dir)).select("chunk_id", "prev_id", "next_id")
+
+
+_CONTEXT = "SELECT conv_id || '#' || turn AS chunk_id, {what} FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, conv_id || '#' || turn ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
+
+
+@query(_CONTEXT.format(what="count(*) OVER w AS n, sum(len(text)) OVER w AS n_chars", before=1, after=1))
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = Window.partitionBy("doc_id").orderBy("ord", "chunk_id").rowsBetween(-1, 1)
+    return turns(spark, sf_dir).select("chunk_id", F.count(F.lit(1)).over(frame).alias("n"), F.sum(F.length("text")).over(frame).alias("n_chars"))
+
+
+@query(_CONTEXT.format(what="array_to_string(list(text) OVER w, chr(10)) AS context", before=1, after=2))
+def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.context_text(turns(spark, sf_dir), 1, 2).select("chunk_id", "context")
+
+
+@query("SELECT conv_id || '#' || turn AS chunk_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS grp FROM conversations")
+def group_by_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.heading_groups(turns(spark, sf_dir), F.col("role") == "user").select("chunk_id", F.col("group").alias("grp"))
+
+
+@query(
+    """WITH b AS (SELECT conv_id, turn, len(text) % 4 + 1 lv FROM conversations), c AS (SELECT conv_id, lv, count(*) n FROM b GROUP BY ALL HAVING count(*) >= 2),
+    r AS (SELECT conv_id, lv, row_number() OVER (PARTITION BY conv_id ORDER BY lv) k FROM c)
+    SELECT conv_id AS doc_id, CAST(max(CASE WHEN k = 1 THEN lv END) AS INTEGER) AS chapter, CAST(max(CASE WHEN k = 2 THEN lv END) AS INTEGER) AS section FROM r GROUP BY conv_id"""
+)
+def cut_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = turns(spark, sf_dir).select("doc_id", "ord", F.lit("heading").alias("kind"), (F.length("text") % 4 + 1).alias("heading_level"))
+    return sequence.cut_levels(blocks)
+
+
+# --- scalar functions ---
+
+
+@query(
+    """SELECT doc_id, CASE WHEN len(text) > 20 THEN substr(text, 1, 20) || '…' ELSE text END AS cut, translate(CASE WHEN len(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END, chr(10) || chr(13) || chr(9), '   ') AS flat,
+    replace(replace(replace(substr(text, 1, 300), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS json,
+    sha256(text) AS sha, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0) ELSE printf('%.1f MB', n_chars / 1048576.0) END AS size,
+    'txt' AS ext, doc_id || '.txt' AS base, source || '-' || lang AS safe FROM documents"""
+)
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, text = table(spark, sf_dir, "documents"), F.col("text")
+    path = F.concat(F.lit("a/b.c/"), F.col("doc_id").cast("string"), F.lit(".TXT"))
+    return d.select(
+        "doc_id", scalars.truncate(text, 20).alias("cut"), scalars.flatten_preview(text).alias("flat"), scalars.escape_json(F.substring(text, 1, 300)).alias("json"), scalars.sha256_hex(text).alias("sha"),
+        scalars.humanize_bytes(F.col("n_chars")).alias("size"), scalars.extension(path).alias("ext"), F.concat(F.regexp_extract(scalars.basename(path), r"^(.*)\.", 1), F.lit(".txt")).alias("base"),
+        scalars.safe_filename(F.concat("source", F.lit(" / "), "lang", F.lit("?"))).alias("safe"),
+    )
+
+
+@query("SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M') AS shown, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS secs, strftime(ts, '%Y/%m/%d') AS day, json_extract_string(props, '$.k') AS k, printf('%.4f', value) AS score FROM events")
+def time_and_json_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, iso = table(spark, sf_dir, "events"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return e.select("event_id", scalars.display_time(iso).alias("shown"), scalars.epoch_seconds(iso).alias("secs"), scalars.display_date(F.col("ts")).alias("day"), scalars.meta_value(F.col("props"), "k").alias("k"), scalars.score_text(F.col("value")).alias("score"))
+
+
+@query(
+    """WITH h AS (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, doc_id, source, text FROM documents QUALIFY rank <= 5)
+    SELECT 'Q: long documents (10)' || chr(10) || string_agg(rank || '. ' || doc_id || '.txt ' || source || ': ' || substr(text, 1, 40) || '…' || CASE WHEN rank < 5 THEN ',' ELSE '' END || chr(10), '' ORDER BY rank) || 'end' || chr(10) AS prompt FROM h"""
+)
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = documents(spark, sf_dir).withColumn("score", F.try_element_at("meta", F.lit("n_chars")).cast("double")).orderBy(F.col("score").desc(), "ord").limit(5)
+    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "ord"))).withColumn("chunk_id", F.col("doc_id"))
+    template = templates.PromptTemplate("t", "Q: <<Query>> (<<TopK>>)", "<<Rank>>. <<File>> <<CID>>: <<Text:snippet(40)>><<Comma>><<Nope>>", "end", 5)
+    return templates.render(ranked, template, "long documents", 10)
+
+
+# --- chunking ---
+
+
+@query(
+    """SELECT doc_id, len(s) AS n, sum_len AS n_chars FROM (SELECT doc_id, s, list_sum(list_transform(s, lambda x: len(x))) sum_len FROM
+    (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?s)[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$'), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13))), lambda x: x <> '') s FROM documents))"""
+)
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "documents").select("doc_id", segment.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS ord, trim(line) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) i FROM documents) WHERE trim(line) <> ''")
+def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("ord", "text"))
+    return lines.select("doc_id", "ord", F.trim("text").alias("text")).where("text <> ''")
+
+
+_LINES = "(SELECT doc_id, i, line FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) i, unnest(string_split(text, chr(10))) line FROM documents))"
+_ORN = r"\-_–—―*•◦▪■●○‣・()\[\]{}<>|=~"
+
+
+@query(
+    f"""SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(regexp_replace(line, '\\s+', '', 'g'), '^[{_ORN}]*[0-9０-９]+[{_ORN}]*$')) AS n_numbers,
+    count(*) FILTER (regexp_matches(ltrim(line), '^[0-9.]*[0-9]')) AS n_headings, count(*) FILTER (regexp_matches(ltrim(line), '^([•◦▪■●○‣・\\-*]|[0-9]+[.)．）])')) AS n_items FROM {_LINES} GROUP BY doc_id"""
+)
+def page_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page-number lines, headings and list items among all lines."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    line = F.col("line")
+    return lines.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), one(F.regexp_replace(line, r"\s+", "").rlike(pdftext.PAGE_NUMBER)).alias("n_numbers"), one(pdftext.heading_level(line).isNotNull()).alias("n_headings"), one(pdftext.list_marker(line).isNotNull()).alias("n_items")
+    )
+
+
+@query("SELECT doc_id, round(CAST(0.55 AS DOUBLE) * len(regexp_extract_all(text, '[\\x21-\\x7E]')) + len(regexp_extract_all(text, '[^\\x00-\\x7F\\s]')), 6) AS width FROM documents")
+def visual_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(pdftext.visual_width(F.col("text")), 6).alias("width"))
+
+
+@query()
+def normalised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", pdftext.normalise_pages(F.col("text")).alias("text"))
+
+
+@query()
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in segments, with chunk ids."""
+    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(segment.segments_of_text(F.col("text"))).alias("pos", "s"))
+    return segment.chunks_of(s.select("doc_id", "pos", "s.*"))
+
+
+# --- store ---
+
+
+@query("SELECT text AS k, max(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of every key, with how many there were."""
+    d = table(spark, sf_dir, "documents").select(F.col("text").alias("k"), "doc_id")
+    counts = d.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return sequence.latest(d, "k", "doc_id").join(counts, "k").select("k", "doc_id", "n")
+
+
+@query("SELECT count(*) AS total_ids, count(*) AS db_deleted, CAST(ceil(count(*) / 100.0) AS BIGINT) AS batches FROM documents WHERE lang = 'de'")
+def delete_by_filter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.delete_report(flt.keep(documents(spark, sf_dir), [flt.MetaEq(key="lang", value="de")]), 100)
+
+
+@query("SELECT doc_id FROM documents WHERE NOT (lang = 'de' AND n_chars > 1000)")
+def delete_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a filtered delete leaves."""
+    gone = flt.predicate([flt.MetaEq(key="lang", value="de"), flt.RangeNumeric(key="n_chars", low=1000, low_open=True)])
+    return documents(spark, sf_dir).where(~gone).select(F.col("ord").alias("doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 2 = 0 AND strlen(k.text) = strlen(d.text) AND sha256(k.text) = sha256(d.text))")
+def unregistered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose content no registered row (an even id) has; sizes are compared before hashes."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"), F.encode("text", "utf-8").alias("content"))
+    known = d.where("doc_id % 2 = 0").select("size", F.sha2("content", 256).alias("sha256"))
+    return sequence.unregistered(d, known).select("doc_id")
+
+
+@query("SELECT conv_id AS doc_id, count(*) AS chunk_count, max(turn) AS page_count, sum(strlen(text)) AS file_size_bytes, sha256(string_agg(text, chr(10) ORDER BY turn)) AS content_sha256 FROM conversations GROUP BY conv_id")
+def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
+    return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.max("ord").alias("page_count"), F.sum(F.octet_length("text")).alias("file_size_bytes"), F.sha2(joined, 256).alias("content_sha256"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id FROM documents WHERE trim(text) <> ''")
+def valid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).where(scalars.is_valid_chunk(F.col("text"))).select("chunk_id")
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT source) AS files, (SELECT count(*) FROM embeddings) AS vectors FROM documents")
+def repo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("vectors"))
+    return documents(spark, sf_dir).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("doc_id").alias("files")).join(F.broadcast(n))
