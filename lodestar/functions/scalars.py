@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
@@ -103,7 +103,7 @@ def page_label_from_id(chunk_id: Column) -> Column:
 
 
 def score_text(score: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", score), F.lit("-")) if score is not None else F.lit("-")
+    return F.when(score.isNull(), "-").otherwise(F.format_string("%.4f", score))
 
 
 def basename(path: Column) -> Column:

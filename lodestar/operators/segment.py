@@ -239,11 +239,11 @@ def text_blocks(text: str) -> list[Block]:
 
 def segment_blocks(blocks: DataFrame, params: SegmentParams = SegmentParams(), group: str = "none") -> DataFrame:
     """(doc_id, pos, text, page_start, page_end) of a blocks table: each document's blocks in one call, whatever their number of documents."""
-    per_doc = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "kind", "text", "page_start", "page_end", "heading_level", "attrs"))).alias("blocks"))
+    per_doc = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "kind", "text", "page_start", "page_end", "heading_level", F.map_entries("attrs").alias("attrs")))).alias("blocks"))
 
     @F.pandas_udf(SEGMENTS)
     def run(docs: pd.Series) -> pd.Series:
-        whole = lambda b: dict(b) | {"attrs": dict(b["attrs"]) if b["attrs"] is not None else {}}
+        whole = lambda b: dict(b) | {"attrs": {e["key"]: e["value"] for e in b["attrs"]} if b["attrs"] is not None else {}}
         return docs.map(lambda d: [dict(zip(("text", "page_start", "page_end"), s, strict=True)) for s in segment_document([whole(b) for b in d], params, group)])
 
     return per_doc.select("doc_id", F.posexplode(run("blocks")).alias("pos", "s")).select("doc_id", "pos", "s.*")

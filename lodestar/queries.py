@@ -347,7 +347,7 @@ def cut_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT doc_id, CASE WHEN len(text) > 20 THEN substr(text, 1, 20) || '…' ELSE text END AS cut, translate(CASE WHEN len(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END, chr(10) || chr(13) || chr(9), '   ') AS flat,
     replace(replace(replace(substr(text, 1, 300), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS json,
-    sha256(text) AS sha, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0) ELSE printf('%.1f MB', n_chars / 1048576.0) END AS size,
+    sha256(text) AS sha, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 102.4 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars / 104857.6 + 0.5) / 10) END AS size,
     'txt' AS ext, doc_id || '.txt' AS base, source || '-' || lang AS safe FROM documents"""
 )
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,8 +43,10 @@ def scan(spark: SparkSession, folder: str, extensions: list[str] | None = None,
     Without a preview the contents are not read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = folder.rstrip("/")
-    depth = F.size(F.split(F.element_at(F.split(F.col("path"), F.lit(root.removeprefix("file:")).try_cast("string")), -1), "/")) - 2
+    bare = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    root = re.sub(bare, "", folder).rstrip("/")
+    below = F.substring(F.regexp_replace("path", bare, ""), len(root) + 1, 1 << 30)
+    depth = F.length(below) - F.length(F.replace(below, F.lit("/"), F.lit(""))) - 1
     out = files.withColumn("depth", depth)
     if extensions and "*" not in extensions:
         out = out.where(scalars.extension(F.col("path")).isin(*(e.lower().lstrip(".") for e in extensions)))

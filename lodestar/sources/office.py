@@ -13,7 +13,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-CELL_BREAK = " "
+CELL_BREAK = "\u2028"
 #: kana order of list numbers (fixed values)
 KATAKANA = "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワヲン"
 HIRAGANA = "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをん"
