@@ -263,7 +263,7 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, train_wor
     rows = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of_doc"), F.col("lang").alias("of_lang"))
     place = F.row_number().over(Window.partitionBy("of_lang").orderBy(F.xxhash64("of_doc"), "of_doc"))  # limited before the shuffle
     chosen = F.broadcast(rows.withColumn("place", place).where(F.col("place") <= docs_per_language).drop("place"))  # at most docs_per_language ids of each
-    found = docs.join(chosen, (F.col("doc_id") == F.col("of_doc")) & (F.col("lang") == F.col("of_lang"))).select("doc_id", "text", "lang").where("text is not null")
+    found = docs.select("doc_id", "text", "lang").join(chosen, (F.col("doc_id") == F.col("of_doc")) & (F.col("lang") == F.col("of_lang"))).select("doc_id", "text", "lang").where("text is not null")
     got = found.collect()
     return fit([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"], r["text"]))], train_words)
 

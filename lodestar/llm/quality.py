@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     rows = labels.where((fold() != 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of_doc"), F.col("quality").alias("of_label"))
     some = [rows.where(F.col("of_label") == q).orderBy(F.xxhash64("of_doc"), "of_doc").limit(max_labelled) for q in (0, 1)]
     chosen = F.broadcast(some[0].unionAll(some[1]))  # at most 2 * max_labelled ids
-    found = docs.join(chosen, F.col("doc_id") == F.col("of_doc")).select("of_doc", "of_label", "text").limit(4 * max_labelled)
+    found = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("of_doc")).select("of_doc", "of_label", "text").limit(4 * max_labelled)
     got = found.select("of_doc", "of_label", features_udf("text").alias("x")).toPandas().sort_values(["of_doc", "of_label"], kind="stable")
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return fit(x, got["of_label"].to_numpy())
