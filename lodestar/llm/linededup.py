@@ -46,6 +46,12 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return rows.where((F.col("n") >= min_words) & (F.col("line") != "")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
+def line_table(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
+    """The judged lines without their texts, stored: doc, text_hash, place, key and, for lines to be compared, ends."""
+    rows = _lines(docs, min_words).withColumn("ends", F.when(F.col("n") >= near_words, _ends()))
+    return stored(rows.select("doc", "text_hash", "place", *_KEY, "ends"), "lines")
+
+
 def _ends() -> Column:
     """Hashes of the first and the last k words; both k where a line one word shorter has another."""
 
@@ -63,15 +69,24 @@ def _without(words: str, place: str) -> Column:
     return F.when(F.col(place).isNull(), F.col(words)).otherwise(cut)
 
 
-def near_lines(lines: DataFrame, near_words: int) -> DataFrame:
-    """Keys of the lines that have an earlier line within one edit (but not an equal one)."""
-    long = lines.where(F.col("n") >= near_words)
-    ends = long.select(*_KEY, F.explode_outer(_ends()).alias("end"))
+def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Keys of the lines that have an earlier line within one edit (but not an equal one).
+
+    lines is the stored table of all judged lines; only candidates' texts are
+    fetched again from docs, each from its first occurrence.
+    """
+    ends = lines.where("ends is not null").select(*_KEY, "doc", "text_hash", "place", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("end")
     shared = stored(shared, "shared-ends")
-    chosen = stored(ends.join(shared, "end", "left_semi").select(*_KEY).distinct(), "near-candidates")
     first = F.struct("doc", "text_hash", "place")
-    some = stored(long.join(chosen, _KEY, "left_semi").groupBy(*_KEY).agg(F.min(first).alias("first"), F.first("line").alias("line")), "near-lines")
+    chosen = ends.join(shared, "end", "left_semi").groupBy(*_KEY).agg(F.min(first).alias("first"))
+    chosen = stored(chosen, "near-candidates")
+    places = chosen.groupBy(F.col("first.doc").alias("doc"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_list(F.struct("first.place", *_KEY)).alias("wanted"))
+    sources = docs.select(F.col("doc_id").alias("of_doc"), F.xxhash64("text").alias("of_hash"), "text")
+    found = sources.join(places, F.col("of_doc").eqNullSafe(F.col("doc")) & (F.col("of_hash") == F.col("text_hash")))
+    found = found.select("doc", "text_hash", F.split("text", "\n").alias("split"), F.explode("wanted").alias("w"))
+    found = found.select("w.h1", "w.h2", F.struct("doc", "text_hash", "w.place").alias("first"), F.btrim(F.get("split", F.col("w.place")), F.lit(" \t\r")).alias("line"))
+    some = stored(found.groupBy(*_KEY).agg(F.min("first").alias("first"), F.first("line").alias("line")), "near-lines")
 
     words = some.select(*_KEY, "first", F.posexplode_outer(F.split("line", " ")).alias("i", "word"))
     words = words.withColumns({"here": F.xxhash64("word", "i"), "left": F.xxhash64("word", F.col("i") - 1)})
@@ -99,9 +114,9 @@ def near_lines(lines: DataFrame, near_words: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with the text's later copies of lines removed, and n_lines and n_removed of each document."""
-    lines = _lines(docs, min_words)
+    lines = line_table(docs, min_words, near_words)
     first = F.struct("doc", "text_hash", "place")
-    near = stored(near_lines(lines, near_words), "near-later")
+    near = stored(near_lines(docs, lines), "near-later")
     repeated = lines.groupBy(*_KEY).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*_KEY, "first")
     judged = repeated.join(near.withColumn("later", F.lit(True)), _KEY, "full")
     judged = stored(judged.select(*_KEY, F.when(F.col("later").isNull(), F.col("first")).alias("keep")), "judged-lines")
