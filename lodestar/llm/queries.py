@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontam, langid, linededup, mixing, neardup, pii, quality, topk, urlfilter, warc
+from lodestar.llm import decontam, langid, linededup, mixing, neardup, oracles, pii, quality, topk, urlfilter, warc
 from lodestar.llm.common import table
 
 
@@ -51,4 +51,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_neardup": op3_neardup, "op4_urlfilter": op4_urlfilter, "op5_pii": op5_pii, "op6_decontamination": op6_decontamination, "op7_linededup": op7_linededup, "op8_topk": op8_topk, "op9_warc": op9_warc, "op10_langid": op10_langid}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_mixing": oracles.MIXING, "op6_decontamination": oracles.DECONTAMINATION, "op7_linededup": oracles.LINE_DEDUP, "op8_topk": oracles.TOP_K, "op9_warc": oracles.WARC}
