@@ -49,9 +49,12 @@ class Store:
         stream = fs.create(fresh, True)
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
-        if fs.exists(at):
-            fs.delete(at, False)
-        fs.rename(fresh, at)
+        # one rename that replaces the old manifest, so there is always one to read
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, at, options)
 
     def table(self, name: str) -> DataFrame:
         path = self.manifest()["tables"].get(name)
