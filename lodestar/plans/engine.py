@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,19 @@ class Engine:
     def repo_counts(self) -> dict[str, int]:
         return self.store.counts()
 
+    @contextmanager
+    def tagged(self, tag: str):
+        """Jobs started inside carry a tag, by which cancel() ends them."""
+        self.spark.addTag(tag)
+        try:
+            yield self
+        finally:
+            self.spark.removeTag(tag)
+
+    def cancel(self, tag: str) -> list[str]:
+        """Ends the running jobs of a tag; the store keeps its last snapshot."""
+        return self.spark.interruptTag(tag)
+
     # --- ingest ---
 
     @staticmethod

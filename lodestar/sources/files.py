@@ -178,3 +178,39 @@ def read_one_column_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
 
 def preview_text(content: bytes, encoding: str = "utf-8", most: int = 256 << 10) -> str:
     return decode_bytes(content[:most], encoding).replace("\r", "")
+
+
+def read_one_column_workbook(files: DataFrame, header: bool = True) -> DataFrame:
+    """(path, pos, text): the cells of the first column of each workbook's first sheet; empty ones are skipped."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                cells = office.first_column(content, header)
+                yield pd.DataFrame({"path": [path] * len(cells), "pos": range(len(cells)), "text": cells}, columns=["path", "pos", "text"]).astype({"pos": "int64"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, pos long, text string")
+
+
+def column_to_chunks(rows: DataFrame, extracted_at: str) -> DataFrame:
+    """Rows of one column as chunks: each is a document of its own, numbered within its source."""
+    doc = F.concat(F.lit("excel-"), F.substring(F.sha2(F.concat_ws("#", "path", F.col("pos").cast("string")), 256), 1, 16))
+    return schema.conform(
+        rows.select(F.lit(schema.SCHEMA_VERSION).alias("schema_version"), F.concat(doc, F.lit("#0")).alias("chunk_id"), doc.alias("doc_id"), F.concat(F.lit("excel://"), F.col("pos").cast("string")).alias("source_uri"), F.lit("text/plain").alias("source_mime"), F.lit(extracted_at).alias("extracted_at"), "text", F.lit(0).alias("ord")),
+        schema.CHUNKS,
+    )
+
+
+#: sort keys of a scanned list
+SCAN_SORTS = {"path": "path", "size": "size", "modified": "modified", "depth": "depth"}
+
+
+def sort_scan(scanned: DataFrame, by: str = "path", descending: bool = False) -> DataFrame:
+    """A scan's rows by path, size, modified, depth or ext, ties by path."""
+    key = scalars.extension(F.col("path")) if by == "ext" else F.col(SCAN_SORTS[by])
+    return scanned.orderBy(key.desc() if descending else key.asc(), "path")
+
+
+def write_embedding_export(table: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    """An export_table() as CSV with a header, written as one folder of part files."""
+    table.write.option("header", "true").option("encoding", encoding).mode("errorifexists").csv(path)

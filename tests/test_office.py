@@ -88,3 +88,31 @@ def test_slides():
     blocks = office.read_pptx(deck)
     assert [b["text"] for b in blocks[:3]] == ["Slide: Hello\n", "one\n", "two\n"]
     assert "cell" in blocks[3]["text"]
+
+
+def test_one_column_workbook_and_export(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lodestar.operators import vector
+    from lodestar.sources import files as src
+
+    sheet = '<worksheet><sheetData><row><c r="A1" t="str"><v>text</v></c></row><row><c r="A2" t="str"><v> one </v></c></row><row/><row><c r="A4"><v>2</v></c></row></sheetData></worksheet>'
+    book = pack({"xl/workbook.xml": f'<workbook {R}><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": REL.format("worksheets/s1.xml"), "xl/worksheets/s1.xml": sheet})
+    rows = src.read_one_column_workbook(spark.createDataFrame([("b.xlsx", bytearray(book))], "path string, content binary"))
+    chunks = src.column_to_chunks(rows, "2024-01-01").orderBy("source_uri").collect()
+    assert [(c.text, c.source_uri) for c in chunks] == [("one", "excel://0"), ("2", "excel://1")] and len({c.doc_id for c in chunks}) == 2
+    table = vector.export_table(spark.createDataFrame([("t", [0.5, -1.0])], "text string, vec array<float>"), "text", "vec", 2)
+    src.write_embedding_export(table, f"file://{tmp_path}/out")
+    lines = {line for p in (tmp_path / "out").glob("*.csv") for line in p.read_text().splitlines()}  # each part has the header
+    assert lines == {"text,emb_0,emb_1", "t,0.500000,-1.000000"}
+    scanned = spark.createDataFrame([("a.b", 2), ("c.a", 1)], "path string, size int")
+    assert [r.path for r in src.sort_scan(scanned, "ext").collect()] == ["c.a", "a.b"]
+    assert scanned.select(F.max("size")).first()[0] == 2
+
+
+def test_sql_functions(spark):
+    from lodestar.functions.register import register
+
+    assert register(spark) == ["ls_segments", "ls_normalise_page"]
+    row = spark.sql("SELECT ls_segments('a b')[0].text AS s, ls_normalise_page('x\n- 1 -') AS p").first()
+    assert (row.s, row.p) == ("a b", "x")
