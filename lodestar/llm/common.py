@@ -54,6 +54,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """df; and lets Spark's cleaner drop the shuffle files of finished jobs.
+
+    They stay until the driver happens to collect its garbage, which on an idle
+    heap can be much later than the next large shuffle.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def delete_shared(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -14,7 +14,8 @@ edit is verified on the words.
 
 Variants would be as many as words. Two lines within one edit share their
 first or their last k words, for any k up to half the shorter line, so only
-lines that share such an end with another line emit variants; nothing is lost.
+lines that share such an end with another line emit variants, and only of
+words outside the shared end; nothing is lost.
 Keys of variants come from prefixes of xor-ed word hashes, in a time linear in
 the line, however long.
 
@@ -32,11 +33,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stored
+from lodestar.llm.common import settle, stored
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
 _KEY = ["h1", "h2"]
+_VARIANTS = "array<struct<key:bigint,role:int,at:int>>"
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -75,20 +77,20 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     lines is the stored table of all judged lines; only candidates' texts are
     fetched again from docs, each from its first occurrence.
     """
-    ends = lines.where("ends is not null").select(*_KEY, "doc", "text_hash", "place", F.explode("ends").alias("end"))
+    ends = lines.where("ends is not null").select(*_KEY, "doc", "text_hash", "place", F.posexplode("ends").alias("side", "end"))
     shared = ends.groupBy("end").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("end")
-    shared = stored(shared, "shared-ends")
+    shared = settle(stored(shared, "shared-ends"))
     first = F.struct("doc", "text_hash", "place")
-    chosen = ends.join(shared, "end", "left_semi").groupBy(*_KEY).agg(F.min(first).alias("first"))
-    chosen = stored(chosen, "near-candidates")
-    places = chosen.groupBy(F.col("first.doc").alias("doc"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_list(F.struct("first.place", *_KEY)).alias("wanted"))
+    chosen = ends.join(shared, "end", "left_semi").groupBy(*_KEY).agg(F.min(first).alias("first"), *(F.max(F.col("side") % 2 == n).alias(side) for n, side in enumerate(("by_first", "by_last"))))
+    chosen = settle(stored(chosen, "near-candidates"))
+    places = chosen.groupBy(F.col("first.doc").alias("doc"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_list(F.struct("first.place", *_KEY, "by_first", "by_last")).alias("wanted"))
     sources = docs.select(F.col("doc_id").alias("of_doc"), F.xxhash64("text").alias("of_hash"), "text")
     found = sources.join(places, F.col("of_doc").eqNullSafe(F.col("doc")) & (F.col("of_hash") == F.col("text_hash")))
     found = found.select("doc", "text_hash", F.split("text", "\n").alias("split"), F.explode("wanted").alias("w"))
-    found = found.select("w.h1", "w.h2", F.struct("doc", "text_hash", "w.place").alias("first"), F.btrim(F.get("split", F.col("w.place")), F.lit(" \t\r")).alias("line"))
-    some = stored(found.groupBy(*_KEY).agg(F.min("first").alias("first"), F.first("line").alias("line")), "near-lines")
+    found = found.select("w.h1", "w.h2", "w.by_first", "w.by_last", F.struct("doc", "text_hash", "w.place").alias("first"), F.btrim(F.get("split", F.col("w.place")), F.lit(" \t\r")).alias("line"))
+    some = settle(stored(found.groupBy(*_KEY).agg(F.min("first").alias("first"), F.first("line").alias("line"), F.first("by_first").alias("by_first"), F.first("by_last").alias("by_last")), "near-lines"))
 
-    words = some.select(*_KEY, "first", F.posexplode_outer(F.split("line", " ")).alias("i", "word"))
+    words = some.select(*_KEY, "by_first", "by_last", F.posexplode_outer(F.split("line", " ")).alias("i", "word"))
     words = words.withColumns({"here": F.xxhash64("word", "i"), "left": F.xxhash64("word", F.col("i") - 1)})
     line, before = Window.partitionBy(*_KEY), Window.partitionBy(*_KEY).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     words = words.withColumns({
@@ -98,14 +100,21 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     replaced = F.struct(F.xxhash64(F.lit("replaced"), "n", "i", F.col("whole").bitwiseXOR(F.col("here"))).alias("key"), F.lit(0).alias("role"), F.col("i").alias("at"))
     deleted = F.struct(F.xxhash64(F.lit("whole"), F.col("n") - 1, F.col("upto").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("rest"))).alias("key"), F.lit(1).alias("role"), F.col("i").alias("at"))
     itself = F.struct(F.xxhash64(F.lit("whole"), "n", "whole").alias("key"), F.lit(2).alias("role"), F.lit(None).cast("int").alias("at"))
-    emitted = words.withColumn("v", F.explode_outer(F.when(F.col("i") == 0, F.array(replaced, deleted, itself)).otherwise(F.array(replaced, deleted))))
-    emitted = emitted.select("v.*", *_KEY, "first")
-
+    # the edit lies behind the first words that two lines share, or before the last ones
+    k = 4 * F.floor((F.col("n") - 1) / 8)
+    inside = (F.col("by_first") & (F.col("i") >= k)) | (F.col("by_last") & (F.col("i") < F.col("n") - k))
+    own = F.when(F.col("i") == 0, F.array(itself)).otherwise(F.array().cast(_VARIANTS))
+    emitted = words.select("h1", F.explode_outer(F.concat(F.when(inside, F.array(replaced, deleted)).otherwise(F.array().cast(_VARIANTS)), own)).alias("v"))
+    emitted = emitted.where("v is not null").select("v.*", "h1")  # narrow: a line's number only
+
+    keys = emitted.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
+    keys = settle(stored(keys, "shared-variants"))
+    members = emitted.join(keys, "key", "left_semi").join(some.select(*_KEY, "first"), "h1")
+    members = settle(stored(members, "variant-members"))
     hub = F.struct("first", "h1", "h2", "at")
     of_role = lambda r: F.min(F.when(F.col("role") == r, hub))
-    hubs = emitted.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), *(of_role(r).alias(f"hub{r}") for r in range(3)))
-    hubs = hubs.where("low <> high").select("key", "hub0", "hub1", "hub2")
-    pairs = emitted.join(hubs, "key").withColumn("hub", F.when(F.col("role") == 0, F.col("hub0")).when(F.col("role") == 1, F.col("hub2")).otherwise(F.col("hub1")))
+    hubs = members.groupBy("key").agg(*(of_role(r).alias(f"hub{r}") for r in range(3)))
+    pairs = members.join(hubs, "key").withColumn("hub", F.when(F.col("role") == 0, F.col("hub0")).when(F.col("role") == 1, F.col("hub2")).otherwise(F.col("hub1")))
     pairs = pairs.where("hub.first < first").select(*_KEY, "at", F.col("hub.h1").alias("hub_h1"), F.col("hub.h2").alias("hub_h2"), F.col("hub.at").alias("hub_at"))
     texts = some.select(*_KEY, F.split("line", " ").alias("words"))
     pairs = pairs.join(texts, _KEY).join(texts.withColumnsRenamed({"h1": "hub_h1", "h2": "hub_h2", "words": "hub_words"}), ["hub_h1", "hub_h2"])
@@ -116,10 +125,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     """docs with the text's later copies of lines removed, and n_lines and n_removed of each document."""
     lines = line_table(docs, min_words, near_words)
     first = F.struct("doc", "text_hash", "place")
-    near = stored(near_lines(docs, lines), "near-later")
+    near = settle(stored(near_lines(docs, lines), "near-later"))
     repeated = lines.groupBy(*_KEY).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*_KEY, "first")
     judged = repeated.join(near.withColumn("later", F.lit(True)), _KEY, "full")
-    judged = stored(judged.select(*_KEY, F.when(F.col("later").isNull(), F.col("first")).alias("keep")), "judged-lines")
+    judged = settle(stored(judged.select(*_KEY, F.when(F.col("later").isNull(), F.col("first")).alias("keep")), "judged-lines"))
     gone = lines.select(*_KEY, "doc", "text_hash", "place").join(judged, _KEY)
     gone = gone.where(F.col("keep").isNull() | ~F.struct("doc", "text_hash", "place").eqNullSafe(F.col("keep")))
     gone = gone.select("doc", "text_hash", "place").distinct().groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))
