@@ -11,6 +11,11 @@ the `reach` longest-common-prefix neighbours on either side in each order, and
 the region's densest node (that with the longest prefixes shared with its
 neighbours), which ties a crowd together without its pairs.
 
+Neighbours alone miss pairs in a crowd. So where a region of over reach + 1 nodes holds several components
+after that, all its pairs are compared: by signatures in blocks, then those
+nodes that have a likely partner in another component on their full sets,
+again in blocks. Only links of components leave a block, never its pairs.
+
 Candidates whose signatures agree in too few of 128 places (over four standard
 deviations below the threshold) go; all other links are confirmed on the full
 sets. First each node's best candidate is confirmed, then those candidates
@@ -40,6 +45,7 @@ from lodestar.llm.components import components
 TREES, STEP, PLACES, DEPTH, LABEL = 16, 8, 128, 4, 28
 REGION_LIMIT = 5000
 REACH = 3
+SIG_BLOCK, SET_BLOCK = 2000, 256
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _rng = np.random.default_rng(20_240_607)
@@ -178,11 +184,134 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return two.where(linked("text_a", "text_b")).select("a", "b")
 
 
+def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each key, of batches sorted by key."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        key = held["key"].to_numpy()
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1)]
+        for start, end in zip(edges, edges[1:]):
+            yield held.iloc[start:end]
+        held = held.iloc[edges[-1] :]
+    if held is not None and len(held):
+        yield held
+
+
+def _block_pairs(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
+    """rows once for each pair of blocks of their group, sorted by key; side is 0 or 1, or 2 where both blocks are one."""
+    rows = rows.withColumn("blocks", F.ceil(F.col(size) / block)).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("with"), 2).otherwise(F.when(F.col("own") < F.col("with"), 0).otherwise(1))
+    rows = rows.withColumns({"side": side, "key": F.xxhash64(group, F.least("own", "with"), F.greatest("own", "with"))})
+    return rows.drop(group, size, "blocks", "own", "with").repartition("key").sortWithinPartitions("key")
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places that agree, of each row of x with each row of y."""
+    if len(x) * len(y) < 4096:
+        return (x[:, None, :] == y[None, :, :]).sum(axis=2)
+    out = np.zeros((len(x), len(y)), dtype=np.uint8)
+    for i in range(PLACES):
+        out += x[:, i][:, None] == y[:, i][None, :]
+    return out
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y."""
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    place = lambda sets: [np.searchsorted(both, s[np.isin(s, both)]) for s in sets]
+    px, py, out, width = place(x), place(y), np.zeros((len(x), len(y)), dtype=np.float64), 4096
+    for low in range(0, len(both), width):
+        dense = []
+        for places in (px, py):
+            m = np.zeros((len(places), width), dtype=np.float32)
+            for i, p in enumerate(places):
+                m[i, p[np.searchsorted(p, low) : np.searchsorted(p, low + width)] - low] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _likely_others(batches: Iterator[pd.DataFrame], floor: int, percent: int) -> Iterator[pd.DataFrame]:
+    """(node, root, other): nodes with a likely partner in another component, and a root they are tied to."""
+    for rows in _grouped(batches):
+        root, roots = pd.factorize(rows["root"])
+        if len(roots) < 2:
+            continue
+        side, n, node = rows["side"].to_numpy(), rows["n"].to_numpy(), rows["node"].to_numpy()
+        sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint8).reshape(-1, PLACES)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(left) or not len(right):
+            continue
+        near = _agree(sig[left], sig[right]) >= floor
+        near &= root[left][:, None] != root[right][None, :]
+        a, b = n[left][:, None], n[right][None, :]
+        near &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+        tied = np.zeros(len(rows), dtype=bool)
+        tied[left], tied[right] = tied[left] | near.any(axis=1), tied[right] | near.any(axis=0)
+        if not tied.any():
+            continue
+        label, last = np.arange(len(rows), dtype=np.int32), None
+        while last is None or (label != last).any():  # least label of those tied together
+            last, label = label, label.copy()
+            label[right] = np.minimum(label[right], np.where(near, label[left][:, None], len(rows)).min(axis=0))
+            label[left] = np.minimum(label[left], np.where(near, label[right][None, :], len(rows)).min(axis=1))
+        yield pd.DataFrame({"node": node[tied], "root": roots[root[tied]], "other": roots[root[label[tied]]]})
+
+
+def _true_links(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """(a, b): roots of components that a pair of full sets links, each once a block pair."""
+    for rows in _grouped(batches):
+        root, roots = pd.factorize(rows["root"])
+        side = rows["side"].to_numpy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if len(roots) < 2 or not len(left) or not len(right):
+            continue
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]]
+        size = np.array([len(s) for s in sets])
+        both = _common([sets[i] for i in left], [sets[i] for i in right])
+        union = size[left][:, None] + size[right][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * union) & (root[left][:, None] != root[right][None, :]))
+        if len(i):
+            pairs = np.unique(np.stack([root[left[i]], root[right[j]]]), axis=1)
+            yield pd.DataFrame({"a": roots[pairs[0]], "b": roots[pairs[1]]})
+
+
+def crowd_links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, floor: int, reach: int, sig_block: int = SIG_BLOCK, set_block: int = SET_BLOCK) -> DataFrame | None:
+    """Links (a, b) of roots that the neighbours of crowded regions missed; nodes have node, root, doc, n, sig and regions."""
+    rows = nodes.select("node", "root", F.explode("regions").alias("region"))
+    crowded = rows.groupBy(F.col("region").alias("of_region")).agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+    crowded = crowded.where((F.col("members") > reach + 1) & (F.col("low") != F.col("high"))).select("of_region", "members")
+    rows = stored(rows.join(crowded, F.col("region") == F.col("of_region")).select("node", "region", "members"), "crowd-rows")
+    rows = rows.join(nodes.select("node", "root", "n", "sig"), "node")
+    likely = _block_pairs(rows, "region", "members", sig_block).mapInPandas(lambda b: _likely_others(b, floor, percent), "node binary, root binary, other binary")
+    likely = stored(likely.distinct(), "crowd-likely")
+    if likely.isEmpty():
+        return None
+    # a node may be tied to its own root only, by a block in which that has the least label
+    crowds = components(likely.select(F.col("root").alias("a"), F.col("other").alias("b")))
+    members = likely.select("node", "root").distinct().join(crowds.select(F.col("node").alias("root"), F.col("root").alias("crowd")), "root")
+    members = stored(members.join(nodes.select("node", "doc"), "node"), "crowd-members")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(t, k).tobytes() for t in batch["text"]]
+            same = [hashlib.blake2b(s, digest_size=16).digest() == n for s, n in zip(found, batch["node"], strict=True)]
+            yield batch.assign(shingles=found)[same][["node", "root", "crowd", "shingles"]]
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members, "doc").select("node", "root", "crowd", "text")
+    full = stored(texts.mapInPandas(sets, "node binary, root binary, crowd binary, shingles binary").dropDuplicates(["node"]), "crowd-sets")
+    sizes = full.groupBy("crowd").agg(F.count(F.lit(1)).alias("members"))
+    pairs = _block_pairs(full.join(sizes, "crowd"), "crowd", "members", set_block)
+    return stored(pairs.mapInPandas(lambda b: _true_links(b, percent), "a binary, b binary").distinct(), "crowd-links")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region_limit: int = REGION_LIMIT, reach: int = REACH) -> DataFrame:
     """doc_id, n_shingles, component_id (least linked doc_id) and kept of each document."""
     ship(docs.sparkSession)
     described = stored(describe(docs, k), "described")
-    nodes = stored(described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("regions").alias("regions"), F.first("sig").alias("sig")), "nodes")
+    nodes = stored(described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("regions").alias("regions"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "nodes")
 
     floor = int(PLACES * percent / 100 - 4.2 * (PLACES * percent * (100 - percent)) ** 0.5 / 100)
     sigs = nodes.select("node", "sig")
@@ -208,7 +337,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region_limit
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = stored(links.unionAll(confirmed(rest, texts, k, percent)), "links-all")
 
-    of_root = components(links).join(nodes.select("node", "doc"), "node")
+    joined = stored(components(links), "components-all")
+    rooted = nodes.join(joined.withColumnRenamed("root", "of_link"), "node", "left").withColumn("root", F.coalesce("of_link", "node")).drop("of_link")
+    more = crowd_links(docs, rooted, k, percent, floor, reach)
+    if more is not None:
+        lifted = stored(components(more), "components-crowds").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        rooted = rooted.join(lifted, "root", "left").withColumn("root", F.coalesce("top", "root"))
+
+    of_root = rooted.select("node", "root", "doc")
     least = of_root.groupBy("root").agg(F.min("doc").alias("least"))
     known = stored(of_root.select("node", "root").join(least, "root").select(F.col("node").alias("of_node"), "least"), "component-of")
     firsts = nodes.select(F.col("node").alias("of_node"), "doc").join(known, "of_node", "left").select("of_node", F.coalesce("least", "doc").alias("least"))

@@ -1,6 +1,7 @@
 """Operators on documents: edge cases, and results against brute force on whole small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -310,3 +311,27 @@ def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(docs, langid.train(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.97
+
+
+def crowd_of(n, seed=5, words=100):
+    """Distinct near copies of one template: families of a few edits each, and a few edits of each copy's own."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(words)]
+
+    def edited(base, edits, tag):
+        out = list(base)
+        for place in rng.sample(range(words), edits):
+            out[place] = f"{tag}{place}"
+        return out
+
+    families = [edited(template, 3, f"f{f}x") for f in range(max(1, n // 20))]
+    return [(i, " ".join(edited(families[rng.randrange(len(families))], rng.choice((1, 2, 2, 3)), f"d{i}x"))) for i in range(n)]
+
+
+def test_near_duplicates_of_a_crowd(spark, monkeypatch):
+    """In a crowd round one template every link is found, whatever the blocks."""
+    monkeypatch.setattr(neardup.crowd_links, "__defaults__", (64, 32))
+    rows = crowd_of(400)
+    docs = docs_of(spark, [(i, t, "s") for i, t in rows])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 3, 85, reach=1).collect()}
+    assert got == brute_near(rows, 3, 85)
