@@ -120,7 +120,7 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
             for page_id, url, html, refers_to, is_revisit in zip(*(batch[c].tolist() for c in ("page_id", "url", "html", "refers_to", "is_revisit")), strict=True):
                 if out is None:
                     path = f"{base}/part-{uuid.uuid4().hex}.warc.gz"
-                    out, count, size = system.open_output_stream(path), 0, 0
+                    out, count, size = system.open_output_stream(path, compression=None), 0, 0  # members are packed already
                 whole = lambda i: None if pd.isna(i) else int(i)
                 member = page_record(whole(page_id), url, html.encode("utf-8", "surrogatepass"), whole(refers_to), is_revisit)
                 out.write(member)
@@ -146,7 +146,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch["path"]:
                 rows = []
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     for head, _ in read_records(stream):
                         rows.append((number(head["WARC-Record-ID"]), head["X-Payload-Length"], head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], number(head.get("WARC-Refers-To", ""))))
                         if len(rows) >= 5000:

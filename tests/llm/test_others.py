@@ -54,6 +54,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.record_type for r in small} == {"response"}
 
 
+def test_warc_files_hold_one_gzip_member_per_record(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"payload {i}" * i) for i in range(1, 30)], "page_id long, url string, html string")
+    written = warc.write_archives(warc.with_revisits(pages), f"file://{tmp_path}/w").collect()
+    for r in written:
+        with open(r.path, "rb") as f:
+            rest = f.read()
+        assert len(rest) == r.bytes
+        members = 0
+        while rest:
+            member = zlib.decompressobj(31)
+            assert member.decompress(rest).startswith(b"WARC/1.1\r\n") and member.eof
+            members, rest = members + 1, member.unused_data
+        assert members == r.records
+    assert sum(r.records for r in written) == 29
+    (tmp_path / "own.warc.gz").write_bytes(b"".join(warc.page_record(i, "u", b"x" * i, None, False) for i in range(5)))
+    own = spark.createDataFrame([(f"{tmp_path}/own.warc.gz",)], "path string")
+    assert {(r.page_id, r.payload_bytes) for r in warc.read_archives(own, f"file://{tmp_path}").collect()} == {(i, i) for i in range(5)}
+
+
 def test_warc_reader_rejects_damage():
     record = warc.page_record(1, "u", b"payload" * 100, None, False)
     assert [b for _, b in warc.read_records(io.BytesIO(record * 3))] == [b"payload" * 100] * 3
