@@ -228,8 +228,8 @@ def embedding_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of all documents by the deterministic embedder."""
-    return table(spark, sf_dir, "documents").select("doc_id", HashEmbedder(dim=16).column(F.substring("text", 1, 8192)).alias("vec"))
+    """Vectors of all documents, each of its whole text, by the deterministic embedder; a hash has no longest input."""
+    return table(spark, sf_dir, "documents").select("doc_id", HashEmbedder(dim=16, max_chars=1 << 30).column(F.col("text")).alias("vec"))
 
 
 # --- filters ---

@@ -1,6 +1,8 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lodestar.functions import scalars
 from lodestar.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -51,3 +53,17 @@ def test_entry_points(spark):
 
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql()) and set(QUERIES) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["chunk_id", "score"]
+
+
+def test_hash_embedding_takes_whole_texts(spark, tmp_path):
+    """Texts that agree in their first 8,192 characters have vectors of their own."""
+    same = "x" * 8192
+    spark.createDataFrame([(1, same + "a"), (2, same + "b"), (3, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = {r.doc_id: tuple(r.vec) for r in QUERIES["hash_embedding"](spark, str(tmp_path)).collect()}
+    assert len(set(vectors.values())) == 3 and all(len(v) == 16 for v in vectors.values())
+
+
+def test_escape_json_takes_whole_texts(spark, sf_dir):
+    """The query escapes 300 characters, as its SQL does; here all of them."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", scalars.escape_json(F.col("text")).alias("json"))
+    assert all(r.json == r.text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") for r in d.collect())
