@@ -6,7 +6,9 @@ in 16 rotations; rotation t, cut to 32 values, is its label in tree t. Each
 tree is a sorted order of labels. A region is a common prefix of 4 values (at
 0.85 one tree shows a pair with probability 0.52, 16 trees miss it with 1e-5).
 Regions of over `region_limit` rows are sorted by a prefix of 8 or 16 values,
-as deep as that region needs, so no task holds a large group. Candidates are
+as deep as that region needs, and where 16 are still too few, by a salt of the
+node as well, so no task holds a large group. What a salt keeps apart is found
+with the crowds (below). Candidates are
 the `reach` longest-common-prefix neighbours on either side in each order, and
 the region's densest node (that with the longest prefixes shared with its
 neighbours), which ties a crowd together without its pairs.
