@@ -328,10 +328,11 @@ def crowd_of(n, seed=5, words=100):
     return [(i, " ".join(edited(families[rng.randrange(len(families))], rng.choice((1, 2, 2, 3)), f"d{i}x"))) for i in range(n)]
 
 
-def test_near_duplicates_of_a_crowd(spark, monkeypatch):
-    """In a crowd round one template every link is found, whatever the blocks."""
+@pytest.mark.parametrize("limit", [2, neardup.REGION_LIMIT])
+def test_near_duplicates_of_a_crowd(spark, monkeypatch, limit):
+    """In a crowd round one template every link is found, whatever the blocks and also where runs are salted."""
     monkeypatch.setattr(neardup.crowd_links, "__defaults__", (64, 32))
     rows = crowd_of(400)
     docs = docs_of(spark, [(i, t, "s") for i, t in rows])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 3, 85, reach=1).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 3, 85, region_limit=limit, reach=1).collect()}
     assert got == brute_near(rows, 3, 85)
