@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,11 +48,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> Iterator[None]:
+    """Within it, Python workers get Arrow batches of so many rows and bytes at most, whatever the length of texts."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {key: spark.conf.get(key) for key in bounds}
+    try:
+        for key, value in bounds.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def stored(df: DataFrame, name: str, within: Callable[[SparkSession], AbstractContextManager] = nullcontext) -> DataFrame:
     """df written to the shared folder and read again: computed once, and safe from lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with within(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,21 +2,25 @@
 
 A document's set is its distinct k-word shingles (fewer words: the whole
 sequence). Equal sets are one node. A node's signature of 128 minima is read
-in 16 rotations; rotation t, cut to 32 values, is its label in tree t. Each
-tree is a sorted order of labels. A region is a common prefix of 4 values (at
-0.85 one tree shows a pair with probability 0.52, 16 trees miss it with 1e-5).
-Regions of over `region_limit` rows are sorted by a prefix of 8 or 16 values,
-as deep as that region needs, and where 16 are still too few, by a salt of the
-node as well, so no task holds a large group. What a salt keeps apart is found
-with the crowds (below). Candidates are
-the `reach` longest-common-prefix neighbours on either side in each order, and
-the region's densest node (that with the longest prefixes shared with its
-neighbours), which ties a crowd together without its pairs.
-
-Neighbours alone miss pairs in a crowd. So where a region of over reach + 1 nodes holds several components
-after that, all its pairs are compared: by signatures in blocks, then those
-nodes that have a likely partner in another component on their full sets,
-again in blocks. Only links of components leave a block, never its pairs.
+in 16 rotations; rotation t is its label in tree t, and each tree is a sorted
+order of labels. A region is a common prefix of 4 values (at 0.85 one tree
+shows a pair with probability 0.52, 16 trees miss it with 1e-5).
+
+Regions are laid out in runs, stretches of their order that one task sorts. A
+region of up to `region_limit` nodes is one run. A larger one is cut between
+prefixes, two values deeper at a time, only where a stretch is still too large,
+until every stretch fits: the depth follows the region's density. Nodes that
+agree in all values are in the order of their digest and are cut there.
+Candidates are the `reach` longest-common-prefix neighbours on either side in
+each run, and the run's densest node (that with the longest prefixes shared
+with its neighbours), which ties a run together without its pairs.
+
+Neighbours alone miss pairs in a crowd, and do not see over the ends of a run.
+So where a region of over reach + 1 nodes holds several components after that,
+its nodes are compared in full: by signatures in blocks, then those nodes that
+have a likely partner in another component on their full sets, again in
+blocks. Nodes of a region's largest component are not compared with each
+other, and only links of components leave a block, never its pairs.
 
 Candidates whose signatures agree in too few of 128 places (over four standard
 deviations below the threshold) go; all other links are confirmed on the full
@@ -24,10 +28,14 @@ sets. First each node's best candidate is confirmed, then those candidates
 that would join different components. Links within a component change nothing.
 The forest is probabilistic: the README has its recall against brute force.
 
+Texts travel in Arrow batches bounded in bytes, and sets are kept in a memory
+bounded in bytes, so a worker's memory depends on the longest text only.
+
 Defined results: without text or words the set is empty, n_shingles is 0 and
 the document is its own component. A null doc_id links to nothing: its
 component_id is null and it is kept. Rows with one doc_id are rows of their
-own. Columns other than doc_id and text are ignored.
+own. Columns other than doc_id and text are ignored. An empty table gives no
+rows. Equal sets are always linked, however many documents share them.
 """
 
 from __future__ import annotations
@@ -41,13 +49,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lodestar.llm.common import ship, stored
+from lodestar.llm.common import arrow_batches, ship, stored
 from lodestar.llm.components import components
 
 TREES, STEP, PLACES, DEPTH, LABEL = 16, 8, 128, 4, 28
-REGION_LIMIT = 5000
+REGION_LIMIT = 1000
 REACH = 3
-SIG_BLOCK, SET_BLOCK = 2000, 256
+DEEPER = 2
+SIG_BLOCK, SET_BLOCK = 1024, 256
+SETS_KEPT = 16 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _rng = np.random.default_rng(20_240_607)
@@ -122,34 +132,62 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, node binary, regions array<long>, sig binary")
 
 
+def _label(t: str, places: int):
+    """The first places of the label in tree t after those of the region."""
+    return F.substring(F.concat("sig", "sig"), F.expr(f"{STEP} * {t} + {DEPTH} + 1"), F.lit(places))
+
+
+def runs(nodes: DataFrame, limit: int = REGION_LIMIT) -> DataFrame:
+    """(run, label, node): every node in each region that it shares, in stretches of the order of up to about 2 * limit rows."""
+    rows = nodes.select("node", "sig", F.posexplode("regions").alias("t", "region"))
+    counts = rows.groupBy(F.col("region").alias("of_region")).agg(F.count(F.lit(1)).alias("members"))
+    counts = stored(counts.where("members > 1"), "regions")
+    crowded = counts.where(F.col("members") > limit).select("of_region")
+    small = counts.where(F.col("members") <= limit).select("of_region")
+    here = F.col("region") == F.col("of_region")
+    out = [rows.select("region", _label("t", LABEL).alias("label"), "node").join(small, here, "left_semi").withColumnRenamed("region", "run")]
+    open_runs = None
+    if not crowded.isEmpty():
+        deep = rows.select("region", "t", "node").join(crowded, here, "left_semi").join(nodes.select("node", "sig"), "node")
+        open_runs = deep.select(F.col("region").alias("run"), _label("t", PLACES - DEPTH).alias("label"), "node")
+    for depth in range(0, PLACES - DEPTH, DEEPER):
+        if open_runs is None:
+            break
+        part = F.substring("label", depth + 1, DEEPER)
+        parts = open_runs.groupBy("run", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # at most 65,536 of a run
+        before = Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        big = F.col("n") > limit
+        filled = F.coalesce(F.sum(F.when(big, 0).otherwise(F.col("n"))).over(before), F.lit(0))
+        passed = F.coalesce(F.sum(F.when(big, 1).otherwise(0)).over(before), F.lit(0))
+        cut = F.when(big, F.xxhash64("run", "part")).otherwise(F.xxhash64("run", passed, F.floor(filled / limit)))
+        parts = parts.select(F.col("run").alias("of_run"), F.col("part").alias("of_part"), cut.alias("cut"), big.alias("still"))
+        cuts = stored(open_runs.join(parts, (F.col("run") == F.col("of_run")) & (part == F.col("of_part"))).select(F.col("cut").alias("run"), "label", "node", "still"), "runs")
+        out.append(cuts.where("not still").drop("still"))
+        left = cuts.where("still").drop("still")
+        open_runs = None if left.isEmpty() else left
+    if open_runs is not None:  # all values agree
+        counts = open_runs.groupBy(F.col("run").alias("of_run")).agg(F.count(F.lit(1)).alias("n"))
+        place = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("double") / 2**32
+        pieces = open_runs.join(counts, F.col("run") == F.col("of_run")).withColumn("run", F.xxhash64("run", F.floor(place * F.ceil(F.col("n") / limit))))
+        out.append(pieces.select("run", "label", "node"))
+    laid = out[0]
+    for more in out[1:]:
+        laid = laid.unionAll(more)
+    return laid
+
+
 def candidates(nodes: DataFrame, region_limit: int = REGION_LIMIT, reach: int = REACH) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that are neighbours in an order, or member and densest node of a region."""
-    start = F.expr(f"{STEP} * t + {DEPTH} + 1")
-    rows = nodes.select("node", "sig", F.posexplode("regions").alias("t", "region")).select(
-        "region", F.substring(F.concat("sig", "sig"), start, F.lit(LABEL)).alias("label"), "node"
-    )
-    counts = rows.groupBy("region").count()
-    crowded = stored(counts.where(F.col("count") > region_limit).select(F.col("region").alias("full")), "crowded")
-    deep = rows.join(crowded, F.col("region") == F.col("full"), "left_semi").groupBy("region", F.substring("label", 1, 4).alias("more")).count()
-    deep = stored(deep.select(F.col("region").alias("full"), "more", (F.col("count") > region_limit).alias("still")), "crowded-deep")
-    # the sorted runs: by region, or by as much of the label as a crowded region needs
-    sorted_by = rows.join(deep, (F.col("region") == F.col("full")) & (F.substring("label", 1, 4) == F.col("more")), "left").withColumn(
-        "run",
-        F.when(F.col("full").isNull(), F.col("region"))
-        .when(~F.col("still"), F.xxhash64("region", "more"))
-        .otherwise(F.xxhash64("region", F.substring("label", 1, 12), F.when(F.length("label") > 0, F.pmod(F.xxhash64("node"), F.lit(16))))),
-    )
-    along = Window.partitionBy("run", "region").orderBy("label", "node")
-    laid = sorted_by.select("region", "run", "label", "node").withColumns(
-        {"before": F.lag("label").over(along)} | {f"n{i}": F.lag("node", i).over(along) for i in range(1, reach + 1)} | {"size": F.count(F.lit(1)).over(Window.partitionBy("run", "region"))}
-    )
+    """Distinct pairs (a < b) of nodes that are neighbours in a run, or member and densest node of one."""
+    along = Window.partitionBy("run").orderBy("label", "node")
+    near = [f"n{i}" for i in range(1, reach + 1)]
+    laid = runs(nodes, region_limit).withColumns({"before": F.lag("label").over(along)} | {c: F.lag("node", i).over(along) for i, c in enumerate(near, 1)})
     # members of one run share more with their neighbours the denser the place is
     shared = F.coalesce(F.length(F.regexp_extract(F.concat_ws("|", F.hex("label"), F.hex("before")), r"^([0-9A-F]*)[0-9A-F]*\|\1", 1)), F.lit(0))
-    laid = laid.where((F.col("size") > 1) | (F.col("run") != F.col("region"))).withColumn("shared", F.when(F.col("before").isNull(), 0).otherwise(shared))
-    laid = stored(laid.select("region", "node", "shared", *(f"n{i}" for i in range(1, reach + 1))), "orders")
-    hubs = laid.groupBy(F.col("region").alias("of_region")).agg(F.max(F.struct("shared", "node"))["node"].alias("hub"))
-    to_hub = laid.join(hubs, F.col("region") == F.col("of_region")).select("node", F.col("hub").alias("other"))
-    to_near = laid.select("node", F.explode(F.array(*(f"n{i}" for i in range(1, reach + 1)))).alias("other"))
+    laid = laid.withColumn("shared", F.when(F.col("before").isNull(), 0).otherwise(shared))
+    laid = stored(laid.select("run", "node", "shared", *near), "orders")
+    hubs = laid.groupBy(F.col("run").alias("of_run")).agg(F.max(F.struct("shared", "node"))["node"].alias("hub"))
+    to_hub = laid.join(hubs, F.col("run") == F.col("of_run")).select("node", F.col("hub").alias("other"))
+    to_near = laid.select("node", F.explode(F.array(*near)).alias("other"))
     pairs = to_hub.unionAll(to_near).where("other is not null and other <> node")
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
@@ -163,27 +201,34 @@ def agreements(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(axis=1).astype("int32"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-
-    @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, seen = [], {}
-        for one, two in zip(left, right, strict=True):
-            for text in (one, two):
-                if text not in seen:
-                    if len(seen) > 500:
-                        seen.clear()
-                    seen[text] = shingle_set(text, k)
-            x, y = seen.get(one), seen.get(two)
-            x, y = shingle_set(one, k) if x is None else x, shingle_set(two, k) if y is None else y
+def _links(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
+    """The pairs of rows (a, b, text_a, text_b) whose sets are linked; sets seen lately are kept, up to SETS_KEPT bytes."""
+    kept, held = {}, 0
+
+    def of(node: bytes, text: str) -> np.ndarray:
+        nonlocal held
+        if (found := kept.get(node)) is None:
+            found = shingle_set(text, k)
+            if held > SETS_KEPT:
+                kept.clear()
+                held = 0
+            kept[node], held = found, held + found.nbytes
+        return found
+
+    for rows in batches:
+        good = []
+        for a, b, one, two in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"], strict=True):
+            x, y = of(a, one), of(b, two)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+            good.append(100 * both >= percent * (len(x) + len(y) - both))
+        yield rows.loc[good, ["a", "b"]]
+
 
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+    one = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.where(linked("text_a", "text_b")).select("a", "b")
+    return two.select("a", "b", "text_a", "text_b").mapInPandas(lambda rows: _links(rows, k, percent), "a binary, b binary")
 
 
 def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,13 +245,30 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held
 
 
-def _block_pairs(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
-    """rows once for each pair of blocks of their group, sorted by key; side is 0 or 1, or 2 where both blocks are one."""
-    rows = rows.withColumn("blocks", F.ceil(F.col(size) / block)).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+def _block_pairs(rows: DataFrame, group: str, sizes: DataFrame, block: int) -> DataFrame:
+    """rows once for each pair of blocks of their group, sorted by key; side is 0 or 1, or 2 where both blocks are one.
+
+    sizes has of_group, top, n_top and n_rest: blocks of the root top meet blocks of other roots only.
+    """
+    rows = rows.join(sizes, F.col(group) == F.col("of_group")).withColumn("main", F.col("root") == F.col("top"))
+    blocks = lambda n: F.ceil(F.col(n) / block)
+    rows = rows.withColumns({"of_top": blocks("n_top"), "of_rest": blocks("n_rest")}).where("of_rest > 0")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("of_top")).otherwise(F.col("of_rest")))
+    with_rest = F.sequence(F.lit(0).cast("long"), F.col("of_rest") - 1)
+    with_top = F.transform(F.sequence(F.lit(1).cast("long"), F.col("of_top")), lambda i: -i)  # blocks of top count down from -1
+    rows = rows.withColumn("own", F.when(F.col("main"), -1 - own).otherwise(own))
+    rows = rows.withColumn("with", F.explode(F.when(F.col("main"), with_rest).otherwise(F.concat(with_rest, with_top))))
     side = F.when(F.col("own") == F.col("with"), 2).otherwise(F.when(F.col("own") < F.col("with"), 0).otherwise(1))
     rows = rows.withColumns({"side": side, "key": F.xxhash64(group, F.least("own", "with"), F.greatest("own", "with"))})
-    return rows.drop(group, size, "blocks", "own", "with").repartition("key").sortWithinPartitions("key")
+    return rows.drop(group, "of_group", "top", "n_top", "n_rest", "main", "of_top", "of_rest", "own", "with").repartition("key").sortWithinPartitions("key")
+
+
+def _sizes(rows: DataFrame, group: str) -> DataFrame:
+    """of_group, top (the root of most rows), n_top and n_rest of each group that holds several roots."""
+    each = rows.groupBy(group, "root").agg(F.count(F.lit(1)).alias("n"))
+    found = each.groupBy(F.col(group).alias("of_group")).agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("members"))
+    found = found.select("of_group", F.col("most.root").alias("top"), F.col("most.n").alias("n_top"), (F.col("members") - F.col("most.n")).alias("n_rest"))
+    return found.where("n_rest > 0")
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -280,39 +342,47 @@ def _true_links(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Da
             yield pd.DataFrame({"a": roots[pairs[0]], "b": roots[pairs[1]]})
 
 
+def with_sets(docs: DataFrame, members: DataFrame, k: int, text: bool) -> DataFrame:
+    """members (doc, node and more) with the text, or the set, of their document; several documents may have the id."""
+    columns = [f for f in members.schema.fields if f.name != "doc"]
+    names = [f.name for f in columns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(t, k).tobytes() for t in batch["text"]]
+            same = [hashlib.blake2b(s, digest_size=16).digest() == n for s, n in zip(found, batch["node"], strict=True)]
+            yield (batch if text else batch.assign(shingles=found))[np.array(same, dtype=bool)][[*names, "text" if text else "shingles"]]
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members, "doc").select(*names, "text")
+    of = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
+    return texts.mapInPandas(run, f"{of}, text string" if text else f"{of}, shingles binary").dropDuplicates(["node"])
+
+
 def crowd_links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, floor: int, reach: int, sig_block: int = SIG_BLOCK, set_block: int = SET_BLOCK) -> DataFrame | None:
     """Links (a, b) of roots that the neighbours of crowded regions missed; nodes have node, root, doc, n, sig and regions."""
     rows = nodes.select("node", "root", F.explode("regions").alias("region"))
     crowded = rows.groupBy(F.col("region").alias("of_region")).agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-    crowded = crowded.where((F.col("members") > reach + 1) & (F.col("low") != F.col("high"))).select("of_region", "members")
-    rows = stored(rows.join(crowded, F.col("region") == F.col("of_region")).select("node", "region", "members"), "crowd-rows")
-    rows = rows.join(nodes.select("node", "root", "n", "sig"), "node")
-    likely = _block_pairs(rows, "region", "members", sig_block).mapInPandas(lambda b: _likely_others(b, floor, percent), "node binary, root binary, other binary")
-    likely = stored(likely.distinct(), "crowd-likely")
+    crowded = crowded.where((F.col("members") > reach + 1) & (F.col("low") != F.col("high"))).select("of_region")
+    rows = stored(rows.join(crowded, F.col("region") == F.col("of_region"), "left_semi"), "crowd-rows")
+    sizes = stored(_sizes(rows, "region"), "crowd-sizes")
+    rows = rows.join(nodes.select("node", "n", "sig"), "node")
+    likely = _block_pairs(rows, "region", sizes, sig_block).mapInPandas(lambda b: _likely_others(b, floor, percent), "node binary, root binary, other binary")
+    likely = stored(likely.distinct(), "crowd-likely", arrow_batches)
     if likely.isEmpty():
         return None
     # a node may be tied to its own root only, by a block in which that has the least label
     crowds = components(likely.select(F.col("root").alias("a"), F.col("other").alias("b")))
     members = likely.select("node", "root").distinct().join(crowds.select(F.col("node").alias("root"), F.col("root").alias("crowd")), "root")
     members = stored(members.join(nodes.select("node", "doc"), "node"), "crowd-members")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingle_set(t, k).tobytes() for t in batch["text"]]
-            same = [hashlib.blake2b(s, digest_size=16).digest() == n for s, n in zip(found, batch["node"], strict=True)]
-            yield batch.assign(shingles=found)[same][["node", "root", "crowd", "shingles"]]
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members, "doc").select("node", "root", "crowd", "text")
-    full = stored(texts.mapInPandas(sets, "node binary, root binary, crowd binary, shingles binary").dropDuplicates(["node"]), "crowd-sets")
-    sizes = full.groupBy("crowd").agg(F.count(F.lit(1)).alias("members"))
-    pairs = _block_pairs(full.join(sizes, "crowd"), "crowd", "members", set_block)
-    return stored(pairs.mapInPandas(lambda b: _true_links(b, percent), "a binary, b binary").distinct(), "crowd-links")
+    full = stored(with_sets(docs, members, k, False), "crowd-sets", arrow_batches)
+    pairs = _block_pairs(full, "crowd", stored(_sizes(full, "crowd"), "crowd-set-sizes"), set_block)
+    return stored(pairs.mapInPandas(lambda b: _true_links(b, percent), "a binary, b binary").distinct(), "crowd-links", arrow_batches)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region_limit: int = REGION_LIMIT, reach: int = REACH) -> DataFrame:
     """doc_id, n_shingles, component_id (least linked doc_id) and kept of each document."""
     ship(docs.sparkSession)
-    described = stored(describe(docs, k), "described")
+    described = stored(describe(docs, k), "described", arrow_batches)
     nodes = stored(described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("regions").alias("regions"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "nodes")
 
     floor = int(PLACES * percent / 100 - 4.2 * (PLACES * percent * (100 - percent)) ** 0.5 / 100)
@@ -322,22 +392,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region_limit
     likely = stored(likely.select("a", "b", agreements("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= floor), "likely")
 
     active = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc"), "node")
-
-    @F.pandas_udf("binary")
-    def digest(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s := shingle_set(t, k)) else None for t in texts], dtype=object)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(active, "doc").where(digest("text") == F.col("node"))
-    texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")), "active-texts")
+    texts = stored(with_sets(docs, active, k, True), "active-texts", arrow_batches)
 
     either = likely.select(F.col("a").alias("node"), "a", "b", "agree").unionAll(likely.select(F.col("b").alias("node"), "a", "b", "agree"))
     best = either.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-    links = stored(confirmed(best, texts, k, percent), "links-best")
+    links = stored(confirmed(best, texts, k, percent), "links-best", arrow_batches)
     joined = stored(components(links), "components-best")
     root = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     rest = likely.join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = stored(links.unionAll(confirmed(rest, texts, k, percent)), "links-all")
+    links = stored(links.unionAll(confirmed(rest, texts, k, percent)), "links-all", arrow_batches)
 
     joined = stored(components(links), "components-all")
     rooted = nodes.join(joined.withColumnRenamed("root", "of_link"), "node", "left").withColumn("root", F.coalesce("of_link", "node")).drop("of_link")
