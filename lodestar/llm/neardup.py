@@ -379,6 +379,12 @@ def crowd_links(docs: DataFrame, nodes: DataFrame, k: int, percent: int, floor:
     return stored(pairs.mapInPandas(lambda b: _true_links(b, percent), "a binary, b binary").distinct(), "crowd-links", arrow_batches)
 
 
+def _lifted(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """rooted with the roots that links (a, b) of roots lead to."""
+    lifted = components(links).select(F.col("node").alias("of_root"), F.col("root").alias("top"))
+    return stored(rooted.join(lifted, F.col("root") == F.col("of_root"), "left").withColumn("root", F.coalesce("top", "root")).drop("of_root", "top"), "rooted")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region_limit: int = REGION_LIMIT, reach: int = REACH) -> DataFrame:
     """doc_id, n_shingles, component_id (least linked doc_id) and kept of each document."""
     ship(docs.sparkSession)
@@ -397,23 +403,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region_limit
     either = likely.select(F.col("a").alias("node"), "a", "b", "agree").unionAll(likely.select(F.col("b").alias("node"), "a", "b", "agree"))
     best = either.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
     links = stored(confirmed(best, texts, k, percent), "links-best", arrow_batches)
-    joined = stored(components(links), "components-best")
-    root = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    rest = likely.join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = stored(links.unionAll(confirmed(rest, texts, k, percent)), "links-all", arrow_batches)
-
-    joined = stored(components(links), "components-all")
-    rooted = nodes.join(joined.withColumnRenamed("root", "of_link"), "node", "left").withColumn("root", F.coalesce("of_link", "node")).drop("of_link")
-    more = crowd_links(docs, rooted, k, percent, floor, reach)
+    joined = stored(components(links), "components-best").withColumnRenamed("node", "of_node")
+    rooted = stored(nodes.select("node", "doc").join(joined, F.col("node") == F.col("of_node"), "left").select("node", "doc", F.coalesce("root", "node").alias("root")), "rooted")
+    root = lambda side: rooted.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    rest = likely.join(best, ["a", "b"], "left_anti").join(root("a"), "a").join(root("b"), "b").where("root_a <> root_b").select("a", "b")
+    links = stored(confirmed(rest, texts, k, percent), "links-rest", arrow_batches)
+    links = links.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    rooted = _lifted(rooted, links)
+    more = crowd_links(docs, nodes.drop("doc").join(rooted, "node"), k, percent, floor, reach)
     if more is not None:
-        lifted = stored(components(more), "components-crowds").select(F.col("node").alias("root"), F.col("root").alias("top"))
-        rooted = rooted.join(lifted, "root", "left").withColumn("root", F.coalesce("top", "root"))
+        rooted = _lifted(rooted, more)
 
     of_root = rooted.select("node", "root", "doc")
     least = of_root.groupBy("root").agg(F.min("doc").alias("least"))
-    known = stored(of_root.select("node", "root").join(least, "root").select(F.col("node").alias("of_node"), "least"), "component-of")
-    firsts = nodes.select(F.col("node").alias("of_node"), "doc").join(known, "of_node", "left").select("of_node", F.coalesce("least", "doc").alias("least"))
+    firsts = of_root.select(F.col("node").alias("of_node"), "root").join(least, "root").select("of_node", "least")
     rows = described.select("doc_id", "n_shingles", "node").join(firsts, F.col("node") == F.col("of_node"), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -336,3 +336,10 @@ def test_near_duplicates_of_a_crowd(spark, monkeypatch, limit):
     docs = docs_of(spark, [(i, t, "s") for i, t in rows])
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 3, 85, region_limit=limit, reach=1).collect()}
     assert got == brute_near(rows, 3, 85)
+
+
+def test_components_of_nothing_and_of_null_ends(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    assert components.components(none).count() == 0
+    odd = spark.createDataFrame([(1, None), (None, 2), (3, 3), (5, 4), (5, 4), (4, 5)], "a long, b long")
+    assert sorted(map(tuple, components.components(odd).collect())) == [(4, 4), (5, 4)]
