@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,10 +36,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where the session has none (tests on one machine) is one chosen here.
+    Only where the session has none, and driver and executors are one process
+    (tests), is one chosen here; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors of a cluster need a folder that they share")
         folder = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -62,23 +66,34 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
             spark.conf.set(key, value)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark drops a query's shuffle files as soon as the query has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "true")
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, within: Callable[[SparkSession], AbstractContextManager] = nullcontext) -> DataFrame:
     """df written to the shared folder and read again: computed once, and safe from lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with within(spark):
+    with within(spark), shuffles_dropped(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df; and lets Spark's cleaner drop the shuffle files of finished jobs.
-
-    They stay until the driver happens to collect its garbage, which on an idle
-    heap can be much later than the next large shuffle.
-    """
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            delete_shared(df.sparkSession, path)
 
 
 def delete_shared(spark: SparkSession, path: str) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stored
+from lodestar.llm.common import forget, stored
 
 
 def _ends(*pairs: tuple[str, str]) -> Column:
@@ -53,7 +53,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     if not last[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
-        now, seen = written(_small(_large(now)))
+        earlier, (now, seen) = now, written(_small(_large(now)))
+        forget(earlier)
         if seen == last:
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)

@@ -7,7 +7,7 @@ found. Documents that share a fingerprint with the benchmark get their matches
 extended: each SPAN-word window around a matching gram is looked up among the
 benchmark's windows, word for word. Benchmark items of fewer than SPAN words
 are one window each and are looked up at every place, for the few lengths that
-occur.
+occur, in one pass.
 
 Only DataFrame operations run here. Computed arrays are exploded by
 explode_outer(): for explode() Catalyst infers a filter on the array's size
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import LOWER, UPPER, stored
 
 SPAN, GRAM = 10, 5
+GROUPS = 128
 _GAPS = "".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 
 
@@ -61,10 +62,15 @@ def with_fingerprints(df: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
     return out.withColumn("prints", low).select(*df.columns, "prints")
 
 
-def _short_windows(span: int) -> Column:
-    """Every run of span words of a text, as text."""
-    places = F.sequence(F.lit(0), F.size("words") - span)
-    return F.when(F.size("words") >= span, F.transform(places, lambda i: F.struct(i.alias("start"), F.array_join(F.slice("words", i + 1, span), " ").alias("window"))))
+def _short_windows(widths: list[int]) -> Column:
+    """Every run of as many words of a text, with its start and width."""
+
+    def of(width: int) -> Column:
+        places = F.sequence(F.lit(0), F.size("words") - width)
+        runs = F.transform(places, lambda i: F.struct(i.alias("start"), F.lit(width).alias("width"), F.array_join(F.slice("words", i + 1, width), " ").alias("window")))
+        return F.when(F.size("words") >= width, runs).otherwise(F.array().cast("array<struct<start:int,width:int,window:string>>"))
+
+    return F.flatten(F.array(*(of(width) for width in widths)))
 
 
 def benchmark_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
@@ -76,33 +82,35 @@ def benchmark_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     return items.select("item_id", width.alias("width"), F.explode_outer(windows).alias("window")).distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, keyed: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document; keyed: with text_hash, xxhash64(text), too."""
     of_items = stored(benchmark_windows(benchmark, span), "item-windows")
     windows = stored(of_items.select("width", "window").distinct(), "windows")
     items = benchmark.select(words_of().alias("words")).where(F.size("words") >= span)
     bench = stored(with_fingerprints(with_grams(items, gram), span, gram).select(F.explode_outer("prints").alias("print")).where("print is not null").distinct(), "bench-prints")
     short = sorted(r["width"] for r in windows.where(F.col("width") < span).select("width").distinct().collect())  # at most span - 1 numbers
 
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    fingerprinted = with_fingerprints(with_grams(keyed.withColumn("words", words_of()), gram), span, gram)
+    keyed_docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    fingerprinted = with_fingerprints(with_grams(keyed_docs.withColumn("words", words_of()), gram), span, gram)
     all_docs = stored(fingerprinted.select("doc_id", "text_hash", "n_words", "prints"), "doc-prints")
 
     key = ["doc_id", "text_hash"]
     prints = all_docs.where(F.size("prints") > 0).select(*key, F.explode("prints").alias("print"))
-    matching = prints.join(bench, "print").groupBy(*key).agg(F.collect_set("print").alias("matches"))
+    # matches in groups by remainder, so that a text that copies much of the benchmark is not searched once a gram and match
+    group = lambda x: F.pmod(x, F.lit(GROUPS).cast("long")).cast("int")
+    matching = prints.join(bench, "print").groupBy(*key, group(F.col("print")).alias("group")).agg(F.collect_set("print").alias("some"))
+    matching = matching.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("group", "some"))).alias("matches"))
     matching = matching.withColumnsRenamed({"doc_id": "of_doc", "text_hash": "of_hash"})
-    found = keyed.join(matching, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash")))
+    found = keyed_docs.join(matching, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash")))
     found = with_grams(found.dropDuplicates(key).withColumn("words", words_of()), gram)
     reach = span - gram
-    near = F.transform("grams", lambda x, i: F.when(F.array_contains("matches", x), F.sequence(F.greatest(F.lit(0), i - reach), i)).otherwise(F.array().cast("array<int>")))
+    near = F.transform("grams", lambda x, i: F.when(F.coalesce(F.array_contains(F.try_element_at("matches", group(x)), x), F.lit(False)), F.sequence(F.greatest(F.lit(0), i - reach), i)).otherwise(F.array().cast("array<int>")))
     found = found.select(*key, "words", F.array_distinct(F.flatten(near)).alias("starts"))
     found = found.select(*key, "words", F.explode_outer("starts").alias("start")).where(F.col("start") + span <= F.size("words"))
     runs = found.select(*key, "start", F.lit(span).alias("width"), F.array_join(F.slice("words", F.col("start") + 1, span), " ").alias("window"))
-    for width in short:
-        some = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of().alias("words")).dropDuplicates(key)
-        some = some.select(*key, F.explode_outer(_short_windows(width)).alias("at")).where("at is not null")
-        runs = runs.unionAll(some.select(*key, "at.start", F.lit(width).alias("width"), "at.window"))
+    if short:
+        some = keyed_docs.dropDuplicates(key).withColumn("words", words_of()).select(*key, F.explode_outer(_short_windows(short)).alias("at")).where("at is not null")
+        runs = runs.unionAll(some.select(*key, "at.start", "at.width", "at.window"))
     hits = stored(runs.join(windows, ["width", "window"]), "hits")
 
     earlier = Window.partitionBy(*key).orderBy("start", "width").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,6 +124,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     )
     out = all_docs.select(*key, "n_words").join(verdicts, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash")), "left")
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        *(key if keyed else ["doc_id"]), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )

@@ -8,16 +8,21 @@ document's language is the one with the largest sum of word posteriors, its
 score that sum's mean over the words.
 
 Learned from at most `docs_per_language` documents of each language outside
-the held-out fold (those of the smallest hash) and `train_words` of their
-words, some lines of them spliced together from different languages. Scoring
-is one pass over whole texts without a shuffle. All lines of a batch are one
+the held-out fold (those of the smallest hash; whole ones, as far as together
+they have at most `chars_per_language` characters), of the `most_languages`
+languages with the most documents, and from `train_words` of their words, some
+lines of them spliced together from different languages. So what the driver
+gets is bounded in rows and in characters. Scoring is one pass over whole
+texts without a shuffle; a text of over `batch_chars` characters is taken in
+pieces that end at a line (or, in a longer line, at a word) whose sums add up. All lines of a batch are one
 sequence whose transitions restart at each line; forward-backward runs over
 blocks of it at once by products of transfer matrices, so one long line costs
 no more than many short ones.
 
 Defined results: null text and text without letters give `und` and 0; so does
 every text if there is nothing to learn from; ties go to the first language by
-code point; repeated rows are rows of their own; other columns are ignored.
+code point; repeated rows are rows of their own, but a repeated id and language
+is learned from once, from its least text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +39,9 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import fold, ship
 
 DOCS_PER_LANGUAGE = 200
+CHARS_PER_LANGUAGE = 4_000_000
+MOST_LANGUAGES = 400
+BATCH_CHARS = 2_000_000
 TRAIN_WORDS = 160_000
 LEXICON = 1500
 BUCKETS = 1 << 15
@@ -235,37 +243,62 @@ def fit(samples: list[tuple[str, str]], train_words: int = TRAIN_WORDS, epochs:
     return model
 
 
-def predict(texts: list[str | None], model: dict | None, batch_chars: int = 2_000_000) -> tuple[list[str], list[float]]:
-    """Language and score of each text; texts are taken together up to batch_chars characters."""
+def pieces_of(text: str, most: int) -> Iterator[str]:
+    """text in pieces of at most about `most` characters that end at a line, or else at a word."""
+    start = 0
+    while len(text) - start > most:
+        cut = text.rfind("\n", start + 1, start + most)
+        if cut < 0:
+            cut = next((i for i in range(start + most, len(text)) if not text[i].isalpha()), len(text))
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
+def predict(texts: list[str | None], model: dict | None, batch_chars: int = BATCH_CHARS) -> tuple[list[str], list[float]]:
+    """Language and score of each text; texts, or pieces of long ones, are taken together up to batch_chars characters."""
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if model is None:
         return names, scores
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j] or "") <= batch_chars):
-            size += len(texts[j] or "")
-            j += 1
-        words = Words([t or "" for t in texts[i:j]])
+    sums = np.zeros((len(texts), len(model["languages"])))
+
+    def add(owners: list[int], some: list[str]) -> None:
+        words = Words(some)
         if words.count:
             posterior = forward_backward(words.emissions(model), words.reset, model)
-            sums = np.stack([np.bincount(words.doc, weights=posterior[:, s], minlength=j - i) for s in range(posterior.shape[1])], axis=1)
-            totals = sums.sum(axis=1)
-            for d in np.flatnonzero(totals > 0):
-                best = int(np.argmax(sums[d]))
-                names[i + d], scores[i + d] = model["languages"][best], float(min(1.0, sums[d, best] / totals[d]))
-        i = j
+            each = np.stack([np.bincount(words.doc, weights=posterior[:, s], minlength=len(some)) for s in range(posterior.shape[1])], axis=1)
+            np.add.at(sums, owners, each)
+
+    owners, some, size = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in pieces_of(text or "", batch_chars):
+            if some and size + len(piece) > batch_chars:
+                add(owners, some)
+                owners, some, size = [], [], 0
+            owners.append(i)
+            some.append(piece)
+            size += len(piece)
+    if some:
+        add(owners, some)
+    totals = sums.sum(axis=1)
+    for d in np.flatnonzero(totals > 0):
+        best = int(np.argmax(sums[d]))
+        names[d], scores[d] = model["languages"][best], float(min(1.0, sums[d, best] / totals[d]))
     return names, scores
 
 
-def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, train_words: int = TRAIN_WORDS) -> dict | None:
+def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, train_words: int = TRAIN_WORDS, chars_per_language: int = CHARS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> dict | None:
     ship(docs.sparkSession)
-    rows = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of_doc"), F.col("lang").alias("of_lang"))
-    place = F.row_number().over(Window.partitionBy("of_lang").orderBy(F.xxhash64("of_doc"), "of_doc"))  # limited before the shuffle
-    chosen = F.broadcast(rows.withColumn("place", place).where(F.col("place") <= docs_per_language).drop("place"))  # at most docs_per_language ids of each
-    found = docs.select("doc_id", "text", "lang").join(chosen, (F.col("doc_id") == F.col("of_doc")) & (F.col("lang") == F.col("of_lang"))).select("doc_id", "text", "lang").where("text is not null")
-    got = found.collect()
-    return fit([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"], r["text"]))], train_words)
+    learned = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    languages = learned.groupBy(F.col("lang").alias("known")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "known").limit(most_languages).select("known")
+    rows = learned.select(F.col("doc_id").alias("of_doc"), F.col("lang").alias("of_lang"), F.length("text").alias("size"))
+    along = Window.partitionBy("of_lang").orderBy(F.xxhash64("of_doc"), "of_doc", "size")  # limited before the shuffle
+    chosen = rows.withColumn("place", F.row_number().over(along)).where(F.col("place") <= docs_per_language)
+    chosen = chosen.withColumn("filled", F.sum("size").over(along)).where(F.col("filled") <= chars_per_language)
+    chosen = chosen.join(F.broadcast(languages), F.col("of_lang") == F.col("known")).select("of_doc", "of_lang").distinct()
+    found = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("of_doc")) & (F.col("lang") == F.col("of_lang")))  # at most docs_per_language * most_languages ids
+    got = found.where(F.col("text").isNotNull() & (F.length("text") <= chars_per_language)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"]))], train_words)
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:

@@ -10,7 +10,10 @@ has won more blocks than it holds.
 Only DataFrame operations run here. The per-word work is one projection; after
 it only ids, sources and sizes move. Sources and shards are tables of their
 own, made by map-side aggregation, and a hot source is spread over as many
-shards as it needs, so no task holds a whole source.
+shards as it needs, so no task holds a whole source. The table of sources (one
+row of some hundred bytes each) is sorted in one task, as the water level and
+the seats of sources are decided over all of them: sources are corpora or
+sites by the thousand or the million, not one for each document.
 
 Defined results: a null text has size 0; an empty table gives no rows; sources
 are null-safe (null is the last source); repeated rows are rows of their own;

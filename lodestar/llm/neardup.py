@@ -8,8 +8,9 @@ shows a pair with probability 0.52, 16 trees miss it with 1e-5).
 
 Regions are laid out in runs, stretches of their order that one task sorts. A
 region of up to `region_limit` nodes is one run. A larger one is cut between
-prefixes, two values deeper at a time, only where a stretch is still too large,
-until every stretch fits: the depth follows the region's density. Nodes that
+prefixes two values longer than what all its labels share, again and again
+where a stretch is still too large, until every stretch fits: the depth follows
+the region's density. Nodes that
 agree in all values are in the order of their digest and are cut there.
 Candidates are the `reach` longest-common-prefix neighbours on either side in
 each run, and the run's densest node (that with the longest prefixes shared
@@ -49,7 +50,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lodestar.llm.common import arrow_batches, ship, stored
+from lodestar.llm.common import arrow_batches, forget, ship, stored
 from lodestar.llm.components import components
 
 TREES, STEP, PLACES, DEPTH, LABEL = 16, 8, 128, 4, 28
@@ -122,14 +123,15 @@ def _describe(text: str | None, k: int) -> tuple:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit digest of the set), regions and signature of each document."""
+    """doc_id, text_hash, n_shingles, node (128-bit digest of the set), regions and signature of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [_describe(t, k) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [r[0] for r in rows], "node": [r[1] for r in rows], "regions": [r[2] for r in rows], "sig": [r[3] for r in rows]}).astype({"doc_id": "Int64"})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": [r[0] for r in rows], "node": [r[1] for r in rows], "regions": [r[2] for r in rows], "sig": [r[3] for r in rows]}).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, node binary, regions array<long>, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, node binary, regions array<long>, sig binary")
 
 
 def _label(t: str, places: int):
@@ -137,59 +139,65 @@ def _label(t: str, places: int):
     return F.substring(F.concat("sig", "sig"), F.expr(f"{STEP} * {t} + {DEPTH} + 1"), F.lit(places))
 
 
-def runs(nodes: DataFrame, limit: int = REGION_LIMIT) -> DataFrame:
-    """(run, label, node): every node in each region that it shares, in stretches of the order of up to about 2 * limit rows."""
+def _common_hex(a: str, b: str):
+    """How many hexadecimal digits two binary columns share from the start on; 0 where one is null."""
+    return F.coalesce(F.length(F.regexp_extract(F.concat_ws("|", F.hex(a), F.hex(b)), r"^([0-9A-F]*)[0-9A-F]*\|\1", 1)), F.lit(0))
+
+
+def runs(nodes: DataFrame, limit: int = REGION_LIMIT) -> tuple[DataFrame, list[DataFrame]]:
+    """(run, label, node): every node in each region that it shares, in stretches of the order of up to about 2 * limit rows; and the stored tables that this reads."""
     rows = nodes.select("node", "sig", F.posexplode("regions").alias("t", "region"))
     counts = rows.groupBy(F.col("region").alias("of_region")).agg(F.count(F.lit(1)).alias("members"))
     counts = stored(counts.where("members > 1"), "regions")
     crowded = counts.where(F.col("members") > limit).select("of_region")
     small = counts.where(F.col("members") <= limit).select("of_region")
-    here = F.col("region") == F.col("of_region")
+    here, tables = F.col("region") == F.col("of_region"), [counts]
     out = [rows.select("region", _label("t", LABEL).alias("label"), "node").join(small, here, "left_semi").withColumnRenamed("region", "run")]
     open_runs = None
     if not crowded.isEmpty():
         deep = rows.select("region", "t", "node").join(crowded, here, "left_semi").join(nodes.select("node", "sig"), "node")
         open_runs = deep.select(F.col("region").alias("run"), _label("t", PLACES - DEPTH).alias("label"), "node")
-    for depth in range(0, PLACES - DEPTH, DEEPER):
-        if open_runs is None:
-            break
-        part = F.substring("label", depth + 1, DEEPER)
-        parts = open_runs.groupBy("run", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # at most 65,536 of a run
-        before = Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    while open_runs is not None:
+        facts = open_runs.groupBy(F.col("run").alias("of_run")).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        facts = stored(facts.select("of_run", "n", F.floor(_common_hex("low", "high") / 2).cast("int").alias("depth")), "run-facts")  # least and greatest label share what all share
+        known = open_runs.join(facts, F.col("run") == F.col("of_run"))
+        place = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("double") / 2**32
+        equal = known.where(F.col("depth") == PLACES - DEPTH)  # all values agree: cut by the order of digests
+        out.append(equal.select(F.xxhash64("run", F.floor(place * F.ceil(F.col("n") / limit))).alias("run"), "label", "node"))
+        known = known.where(F.col("depth") < PLACES - DEPTH).select("run", "label", "node", F.substring("label", F.col("depth") + 1, F.lit(DEEPER)).alias("part"))
+        parts = known.groupBy(F.col("run").alias("of_run"), F.col("part").alias("of_part")).agg(F.count(F.lit(1)).alias("n"))  # at most 65,536 of a run, at least two
+        before = Window.partitionBy("of_run").orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)
         big = F.col("n") > limit
         filled = F.coalesce(F.sum(F.when(big, 0).otherwise(F.col("n"))).over(before), F.lit(0))
         passed = F.coalesce(F.sum(F.when(big, 1).otherwise(0)).over(before), F.lit(0))
-        cut = F.when(big, F.xxhash64("run", "part")).otherwise(F.xxhash64("run", passed, F.floor(filled / limit)))
-        parts = parts.select(F.col("run").alias("of_run"), F.col("part").alias("of_part"), cut.alias("cut"), big.alias("still"))
-        cuts = stored(open_runs.join(parts, (F.col("run") == F.col("of_run")) & (part == F.col("of_part"))).select(F.col("cut").alias("run"), "label", "node", "still"), "runs")
+        cut = F.when(big, F.xxhash64("of_run", "of_part")).otherwise(F.xxhash64("of_run", passed, F.floor(filled / limit)))
+        parts = parts.select("of_run", "of_part", cut.alias("cut"), big.alias("still"))
+        cuts = stored(known.join(parts, (F.col("run") == F.col("of_run")) & (F.col("part") == F.col("of_part"))).select(F.col("cut").alias("run"), "label", "node", "still"), "runs")
+        tables += [facts, cuts]
         out.append(cuts.where("not still").drop("still"))
         left = cuts.where("still").drop("still")
         open_runs = None if left.isEmpty() else left
-    if open_runs is not None:  # all values agree
-        counts = open_runs.groupBy(F.col("run").alias("of_run")).agg(F.count(F.lit(1)).alias("n"))
-        place = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("double") / 2**32
-        pieces = open_runs.join(counts, F.col("run") == F.col("of_run")).withColumn("run", F.xxhash64("run", F.floor(place * F.ceil(F.col("n") / limit))))
-        out.append(pieces.select("run", "label", "node"))
     laid = out[0]
     for more in out[1:]:
         laid = laid.unionAll(more)
-    return laid
+    return laid, tables
 
 
-def candidates(nodes: DataFrame, region_limit: int = REGION_LIMIT, reach: int = REACH) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that are neighbours in a run, or member and densest node of one."""
+def candidates(nodes: DataFrame, region_limit: int = REGION_LIMIT, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of nodes that are neighbours in a run, or member and densest node of one; and the stored table that they come from."""
     along = Window.partitionBy("run").orderBy("label", "node")
     near = [f"n{i}" for i in range(1, reach + 1)]
-    laid = runs(nodes, region_limit).withColumns({"before": F.lag("label").over(along)} | {c: F.lag("node", i).over(along) for i, c in enumerate(near, 1)})
+    laid, tables = runs(nodes, region_limit)
+    laid = laid.withColumns({"before": F.lag("label").over(along)} | {c: F.lag("node", i).over(along) for i, c in enumerate(near, 1)})
     # members of one run share more with their neighbours the denser the place is
-    shared = F.coalesce(F.length(F.regexp_extract(F.concat_ws("|", F.hex("label"), F.hex("before")), r"^([0-9A-F]*)[0-9A-F]*\|\1", 1)), F.lit(0))
-    laid = laid.withColumn("shared", F.when(F.col("before").isNull(), 0).otherwise(shared))
+    laid = laid.withColumn("shared", F.when(F.col("before").isNull(), 0).otherwise(_common_hex("label", "before")))
     laid = stored(laid.select("run", "node", "shared", *near), "orders")
+    forget(*tables)
     hubs = laid.groupBy(F.col("run").alias("of_run")).agg(F.max(F.struct("shared", "node"))["node"].alias("hub"))
     to_hub = laid.join(hubs, F.col("run") == F.col("of_run")).select("node", F.col("hub").alias("other"))
     to_near = laid.select("node", F.explode(F.array(*near)).alias("other"))
     pairs = to_hub.unionAll(to_near).where("other is not null and other <> node")
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), laid
 
 
 @F.pandas_udf(IntegerType())
@@ -385,30 +393,32 @@ def _lifted(rooted: DataFrame, links: DataFrame) -> DataFrame:
     return stored(rooted.join(lifted, F.col("root") == F.col("of_root"), "left").withColumn("root", F.coalesce("top", "root")).drop("of_root", "top"), "rooted")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region_limit: int = REGION_LIMIT, reach: int = REACH) -> DataFrame:
-    """doc_id, n_shingles, component_id (least linked doc_id) and kept of each document."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region_limit: int = REGION_LIMIT, reach: int = REACH, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (least linked doc_id) and kept of each document; keyed: with text_hash, xxhash64(text), too."""
     ship(docs.sparkSession)
     described = stored(describe(docs, k), "described", arrow_batches)
     nodes = stored(described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("regions").alias("regions"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "nodes")
 
     floor = int(PLACES * percent / 100 - 4.2 * (PLACES * percent * (100 - percent)) ** 0.5 / 100)
     sigs = nodes.select("node", "sig")
-    likely = candidates(nodes, region_limit, reach)
+    likely, orders = candidates(nodes, region_limit, reach)
     likely = likely.join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
     likely = stored(likely.select("a", "b", agreements("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= floor), "likely")
+    forget(orders)
 
     active = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc"), "node")
     texts = stored(with_sets(docs, active, k, True), "active-texts", arrow_batches)
 
     either = likely.select(F.col("a").alias("node"), "a", "b", "agree").unionAll(likely.select(F.col("b").alias("node"), "a", "b", "agree"))
     best = either.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-    links = stored(confirmed(best, texts, k, percent), "links-best", arrow_batches)
-    joined = stored(components(links), "components-best").withColumnRenamed("node", "of_node")
+    links_best = stored(confirmed(best, texts, k, percent), "links-best", arrow_batches)
+    joined = components(links_best).withColumnRenamed("node", "of_node")
     rooted = stored(nodes.select("node", "doc").join(joined, F.col("node") == F.col("of_node"), "left").select("node", "doc", F.coalesce("root", "node").alias("root")), "rooted")
     root = lambda side: rooted.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     rest = likely.join(best, ["a", "b"], "left_anti").join(root("a"), "a").join(root("b"), "b").where("root_a <> root_b").select("a", "b")
-    links = stored(confirmed(rest, texts, k, percent), "links-rest", arrow_batches)
-    links = links.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    links_rest = stored(confirmed(rest, texts, k, percent), "links-rest", arrow_batches)
+    forget(texts, likely, links_best)
+    links = links_rest.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     rooted = _lifted(rooted, links)
     more = crowd_links(docs, nodes.drop("doc").join(rooted, "node"), k, percent, floor, reach)
     if more is not None:
@@ -417,6 +427,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, region_limit
     of_root = rooted.select("node", "root", "doc")
     least = of_root.groupBy("root").agg(F.min("doc").alias("least"))
     firsts = of_root.select(F.col("node").alias("of_node"), "root").join(least, "root").select("of_node", "least")
-    rows = described.select("doc_id", "n_shingles", "node").join(firsts, F.col("node") == F.col("of_node"), "left")
+    key = ["doc_id", "text_hash"] if keyed else ["doc_id"]
+    rows = described.select(*key, "n_shingles", "node").join(firsts, F.col("node") == F.col("of_node"), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.select(*key, "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

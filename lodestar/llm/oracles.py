@@ -49,7 +49,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 LINE_DEDUP = r"""
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) s FROM documents),
 l AS (SELECT doc_id, p, trim(line, ' ' || chr(9) || chr(13)) l FROM (SELECT doc_id, unnest(range(len(s))) p, unnest(s) line FROM s)),
-j AS (SELECT *, len(l) - len(replace(l, ' ', '')) + 1 n, doc_id * 10000000 + p o FROM l WHERE l <> '' AND len(l) - len(replace(l, ' ', '')) + 1 >= 5),
+j AS (SELECT *, len(l) - len(replace(l, ' ', '')) + 1 n, doc_id * 10000000 + p o FROM l WHERE l <> ''),
 d AS (SELECT l, n, min(o) o FROM j GROUP BY l, n),
 v AS (SELECT l, n, o, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') k FROM (SELECT l, n, o, string_split(l, ' ') w, unnest(range(1, n + 1)) i FROM d WHERE n >= 10)),
 near AS (

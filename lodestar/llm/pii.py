@@ -26,13 +26,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ship
+from lodestar.llm.common import LOWER, UPPER, ship
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -48,6 +49,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
 _SPELLED = ("[at]", "(at)", "{at}", "<at>", "[dot]", "(dot)", "{dot}", "<dot>", " dot ")
 _DIGIT = re.compile(r"[0-9]")
+_ASCII = str.maketrans(UPPER, LOWER)  # keeps every character's place
+PART = 200
 
 
 def luhn(digits: str) -> bool:
@@ -252,7 +255,9 @@ def _example(rng: np.random.Generator) -> tuple[str, list[tuple[str, int]]]:
     return " ".join(p for p, _ in pieces), pieces
 
 
+@cache
 def train(examples: int = 260, epochs: int = 4, seed: int = SEED, rate: float = 0.2) -> Model:
+    """The model, made once in a process: the same arguments give the same weights."""
     rng, model, data = np.random.default_rng(seed), Model(), []
     for _ in range(examples):
         text, pieces = _example(rng)
@@ -269,16 +274,37 @@ def train(examples: int = 260, epochs: int = 4, seed: int = SEED, rate: float =
     return model
 
 
+def _entities(text: str, words: list[tuple[int, int]], model: Model, part: int = PART) -> list[tuple[int, int, str]]:
+    """The entities of a stretch, of any length, from overlapping parts of `part` words.
+
+    A part decides on the entities that start 2 * MAX_TOKENS or more words before
+    its end, so none is cut; the next part begins MAX_TOKENS words before what is
+    still open, so that it sees what stands there.
+    """
+    out, start = [], 0
+    while start < len(words):
+        first = max(0, start - MAX_TOKENS)
+        some = words[first : start + part]
+        last = start + part >= len(words)
+        open_from = len(words) if last else start + part - 2 * MAX_TOKENS
+        for a, n, kind in model.best(text, some):
+            if start <= first + a < open_from:
+                out.append((some[a][0], some[a + n - 1][1], kind))
+                if not last:
+                    open_from = max(open_from, first + a + n)
+        start = open_from
+    return out
+
+
 def added_spans(text: str, base: list[tuple[int, int, str]], model: Model) -> list[tuple[int, int, str]]:
     """What the CRF adds: entities in the stretches around signs that no base span covers."""
     signs = [m.start() for m in _SIGN.finditer(text)]
-    low = text.lower()
-    if len(low) == len(text):
-        for s in _SPELLED:
-            at = low.find(s)
-            while at >= 0:
-                signs.append(at + (s[0] == " "))
-                at = low.find(s, at + 1)
+    low = text.translate(_ASCII)
+    for s in _SPELLED:
+        at = low.find(s)
+        while at >= 0:
+            signs.append(at + (s[0] == " "))
+            at = low.find(s, at + 1)
     covered = sorted((s, e) for s, e, _ in base)
     signs, c, free = sorted(signs), 0, []
     reach = 0
@@ -301,7 +327,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]], model: Model) -> li
             words, k = 0, at
             while 0 <= k < len(text) and text[k] != "\n" and words <= CONTEXT:
                 if side > 0 and text[k].isspace() and k + 1 < len(text) and not text[k + 1].isspace():
-                    ahead = text[k + 1 : k + 24].split(" ", 1)[0]
+                    ahead = _TOKEN.match(text, k + 1).group()
                     words = 0 if _SIGN.search(ahead) or ahead.lower().strip("[](){}<>.,") in ("at", "dot") else words + 1
                 elif side < 0 and text[k].isspace():
                     words += 1
@@ -312,16 +338,14 @@ def added_spans(text: str, base: list[tuple[int, int, str]], model: Model) -> li
         right = min([right, *(s for s, _ in covered if s > at)])
         done = max(done, right)
         words = [x for x in tokens(text, left, right) if x[1] > x[0]]
-        for i in range(0, len(words), 200):
-            part = words[i : i + 200]
-            out += [(part[a][0], part[a + n - 1][1], kind) for a, n, kind in model.best(text, part)]
+        out += _entities(text, words, model)
     return [s for s in out if not any(s[0] < e and b < s[1] for b, e in covered)]
 
 
 def find(text: str | None, model: Model) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) of a text."""
     text = text or ""
-    if not _SIGN.search(text) and not any(s in text.lower() for s in _SPELLED):
+    if not _SIGN.search(text) and not any(s in text.translate(_ASCII) for s in _SPELLED):
         return [], []
     base = base_spans(text)
     return base, sorted(base + added_spans(text, base, model), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))

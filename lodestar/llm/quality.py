@@ -6,7 +6,8 @@ feature differences x_i - x_j over seeded pairs. The utility's cut is a
 quantile of the training utilities: the level with the best balanced accuracy.
 The score is sigmoid(u - cut + logit(0.3)), so that 0.3 is that quantile.
 
-Labels are learned from at most MAX_LABELLED rows per class, those of the
+Labels are learned from at most MAX_LABELLED ids per class, those of the
+smallest hash, and of the documents of one id from that whose text has the
 smallest hash; only their features (a few doubles each) reach the driver.
 Scoring is one pass over the whole texts, without any shuffle.
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -100,17 +101,18 @@ def utility_to_score(x: np.ndarray, model: dict) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
     """The model from labelled rows out of the held-out fold, at most max_labelled per class."""
     ship(docs.sparkSession)
-    rows = labels.where((fold() != 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of_doc"), F.col("quality").alias("of_label"))
+    rows = labels.where((fold() != 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of_doc"), F.col("quality").alias("of_label")).distinct()
     some = [rows.where(F.col("of_label") == q).orderBy(F.xxhash64("of_doc"), "of_doc").limit(max_labelled) for q in (0, 1)]
     chosen = F.broadcast(some[0].unionAll(some[1]))  # at most 2 * max_labelled ids
-    found = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("of_doc")).select("of_doc", "of_label", "text").limit(4 * max_labelled)
-    got = found.select("of_doc", "of_label", features_udf("text").alias("x")).toPandas().sort_values(["of_doc", "of_label"], kind="stable")
+    found = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("of_doc")).select("of_doc", "of_label", F.xxhash64("text").alias("hash"), features_udf("text").alias("x"))
+    found = found.groupBy("of_doc", "of_label").agg(F.min(F.struct("hash", "x"))["x"].alias("x"))  # one row an id and label, however often the id occurs
+    got = found.toPandas().sort_values(["of_doc", "of_label"], kind="stable")
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return fit(x, got["of_label"].to_numpy())
 
 
-def score(docs: DataFrame, model: dict, text: str = "text", into: str = "score") -> DataFrame:
-    """docs with the score of each whole text."""
+def score_of(text: Column, model: dict) -> Column:
+    """The score of each whole text."""
 
     @F.pandas_udf(DoubleType())
     def score_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -118,10 +120,10 @@ def score(docs: DataFrame, model: dict, text: str = "text", into: str = "score")
             x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
             yield pd.Series(utility_to_score(x, model))
 
-    return docs.withColumn(into, score_udf(F.col(text)))
+    return score_udf(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
+    scored = docs.select("doc_id", score_of(F.col("text"), train(docs, labels)).alias("score"))
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

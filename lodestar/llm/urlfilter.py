@@ -8,7 +8,8 @@ Catalyst expressions; the model's scores come from one vectorised pass over
 the URLs alone, without a shuffle.
 
 Defined results: a null URL or one without `://` has empty host and path; no
-rule fits it, so the model judges it. Without labelled URLs all unruled URLs
+rule fits it, so the model judges it. Of rules of one length that fit, the
+later in the list decides. Without labelled URLs all unruled URLs
 are allowed; with one verdict only, they get that one. Repeated rows are rows
 of their own; other columns are ignored.
 """

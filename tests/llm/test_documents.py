@@ -173,7 +173,7 @@ def within_one(a, b):
     return max(len(a), len(b)) - i - j <= 1
 
 
-def brute_lines(rows, min_words=5, near_words=10):
+def brute_lines(rows, min_words=1, near_words=10):
     at = sorted((i, p, line.strip(" \t\r")) for i, t in rows for p, line in enumerate((t or "").split("\n")))
     judged = [(i, p, x.split(" ")) for i, p, x in at if x and x.count(" ") + 1 >= min_words]
     gone, seen = set(), []
