@@ -8,7 +8,7 @@ so it is a function of all its blocks, wrapped in one Arrow pass.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,44 +55,45 @@ class _Text:
         self.data = b"".join(encoded)
         ends = np.cumsum([len(e) for e in encoded]).tolist()
         self.spans = [(end - len(e), end, b.get("page_start"), b.get("page_end")) for e, end, b in zip(encoded, ends, blocks, strict=True)]
+        self.span_starts, self.span_ends = [s[0] for s in self.spans], [s[1] for s in self.spans]
         tables = [(s, e) for (s, e, *_), b in zip(self.spans, blocks, strict=True) if _is_table(b)]
         self.tables = sorted(tables, key=lambda t: t[0])
+        self.table_starts = [t[0] for t in self.tables]
         self.runs = [(m.start(), m.end(), len(_LEADER.findall(m.group()))) for m in _LEADER_RUN.finditer(self.data)]
+        self.run_starts = [r[0] for r in self.runs]
         self._score(params)
 
     def _score(self, params: SegmentParams) -> None:
-        best: dict[int, float] = {}
-
-        def offer(at: int, score: float) -> None:
-            best[at] = max(score, best.get(at, 0.0))
-
-        for _, end, *_ in self.spans[:-1]:
-            offer(end, BLOCK_END)
-        for m in _LINE_ENDS.finditer(self.data):
-            offer(m.end(), BLANK_LINE if m.end() - m.start() == 2 else LINE_END)
-        for m in _SENTENCE_ENDS.finditer(self.data):
-            offer(m.end(), SENTENCE_END)
-        jumps = {a[1] for a, b in zip(self.spans, self.spans[1:], strict=False) if a[3] is not None and b[2] is not None and a[3] != b[2]}
-        run_starts = [r[0] for r in self.runs]
-        places, scores = [], []
-        for at in sorted(best):
-            if any(s < at < e for s, e in self.tables):
-                continue
-            score = np.float32(best[at])
-            if params.penalize_short_line and at - (self.data.rfind(b"\n", 0, at) + 1) < SHORT_LINE_BYTES:
-                score -= np.float32(SHORT_LINE)
-            if params.penalize_page_boundary_no_newline and at in jumps and self.data[at - 1 : at] != b"\n":
-                score -= np.float32(PAGE_CHANGE)
-            run = self.runs[i] if (i := bisect_left(run_starts, at) - 1) >= 0 else (0, -1, 0)
-            if run[2] >= LEADERS and at <= run[1]:  # inside or just after
-                score -= np.float32(IN_LEADERS)
-            places.append(at)
-            scores.append(score)
-        self.places = places
-        self.scores = np.array(scores, dtype=np.float32)
+        lines = [(m.end(), BLANK_LINE if m.end() - m.start() == 2 else LINE_END) for m in _LINE_ENDS.finditer(self.data)]
+        ends = [(m.end(), SENTENCE_END) for m in _SENTENCE_ENDS.finditer(self.data)]
+        offers = np.array([(end, BLOCK_END) for end in self.span_ends[:-1]] + lines + ends, dtype=np.float64).reshape(-1, 2)
+        offers = offers[np.lexsort((-offers[:, 1], offers[:, 0]))]
+        places = offers[:, 0].astype(np.int64)
+        first = np.ones(len(places), dtype=bool)  # the best offer of each place
+        first[1:] = places[1:] != places[:-1]
+        places, scores = places[first], offers[first, 1].astype(np.float32)
+        starts, stops = (np.array([t[i] for t in self.tables], dtype=np.int64) for i in (0, 1))
+        if len(starts):
+            at = np.searchsorted(starts, places) - 1  # the last table that starts before the place
+            outside = (at < 0) | (places >= stops[at])
+            places, scores = places[outside], scores[outside]
+        breaks = np.flatnonzero(np.frombuffer(self.data, dtype=np.uint8) == 10) + 1  # where lines start
+        if params.penalize_short_line:
+            line = np.searchsorted(breaks, places, side="right") - 1
+            line_start = np.where(line >= 0, breaks[line], 0) if len(breaks) else np.zeros_like(places)
+            scores[places - line_start < SHORT_LINE_BYTES] -= np.float32(SHORT_LINE)
+        if params.penalize_page_boundary_no_newline:
+            jumps = [a[1] for a, b in zip(self.spans, self.spans[1:], strict=False) if a[3] is not None and b[2] is not None and a[3] != b[2]]
+            if jumps:
+                scores[np.isin(places, jumps) & ~np.isin(places, breaks)] -= np.float32(PAGE_CHANGE)
+        if self.runs:
+            run = np.searchsorted(self.run_starts, places) - 1
+            ends_of, leaders = np.array([r[1] for r in self.runs]), np.array([r[2] for r in self.runs])
+            scores[(run >= 0) & (leaders[run] >= LEADERS) & (places <= ends_of[run])] -= np.float32(IN_LEADERS)  # inside or just after
+        self.places, self.scores = places.tolist(), scores
         for start, end in self.tables:
-            at_end, before = bisect_left(places, end), bisect_left(places, start)
-            if at_end < len(places) and places[at_end] == end:
+            at_end, before = bisect_left(self.places, end), bisect_left(self.places, start)
+            if at_end < len(self.places) and self.places[at_end] == end:
                 self.scores[at_end] += np.float32(AFTER_TABLE)
             for back, change in ((1, BEFORE_TABLE), (2, EARLIER_BEFORE_TABLE)):
                 if before >= back:
@@ -116,11 +117,11 @@ class _Text:
             cut = min(cap + 1, len(self.data))
             while inside(cut):
                 cut += 1
-        run = next((r for r in self.runs if r[0] < cut <= r[1]), None)
-        return max(start + 1, run[0]) if run else cut
+        run = self.runs[i] if (i := bisect_left(self.run_starts, cut) - 1) >= 0 else (0, -1)
+        return max(start + 1, run[0]) if cut <= run[1] else cut
 
     def pages(self, start: int, end: int) -> tuple[int | None, int | None]:
-        over = [s for s in self.spans if s[1] > start and s[0] < end]
+        over = self.spans[bisect_right(self.span_ends, start) : bisect_left(self.span_starts, end)]
         return min((s[2] for s in over if s[2] is not None), default=None), max((s[3] for s in over if s[3] is not None), default=None)
 
 
@@ -140,7 +141,7 @@ def _cut(text: _Text, start: int, params: SegmentParams) -> int:
     low, prefer, cap = (min(total, start + n) for n in (params.min_chars, params.max_chars, params.cap_chars))
     cut = text.choose(low, cap, prefer)
     if cut is not None and cut > start:
-        table = next((t for t in text.tables if t[0] >= start), None)
+        table = text.tables[i] if (i := bisect_left(text.table_starts, start)) < len(text.tables) else None
         if table and cut <= table[0] and table[1] <= cap:  # keep what stands before a table with it
             at = bisect_left(text.places, table[0])
             if at and (earlier := text.places[at - 2 if at > 1 else at - 1]) >= low:
@@ -255,8 +256,17 @@ def chunks_of(segments: DataFrame) -> DataFrame:
     return out.where(F.regexp_replace("text", f"[{WHITE}]", "") != "")
 
 
+_END, _MARK = ".!?。！？", "\uffff"
+
+
 def sentences(text: Column) -> Column:
     """Array of sentences: split after . ! ? and their full-width forms, trimmed, blank ones dropped."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$"), F.lit(0))
-    kept = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, f"^[{WHITE}]+|[{WHITE}]+$", "")), lambda p: p != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("")))
+    marked = text
+    for end in _END:
+        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
+    # a text that holds the mark itself (it is no character) is split by the pattern
+    by_pattern = F.regexp_extract_all(text, F.lit(f"(?s)[^{_END}]*[{_END}]|[^{_END}]+$"), F.lit(0))
+    parts = F.when(F.contains(text, F.lit(_MARK)), by_pattern).otherwise(F.split(marked, _MARK))
+    kept = F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(WHITE))), lambda p: p != "")
+    one = F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.lit(""))))  # kept stands once in the plan
+    return F.get(one, F.lit(0))

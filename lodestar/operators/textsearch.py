@@ -1,9 +1,11 @@
 """Inverted index and BM25, as DataFrames.
 
-The index is postings (term, chunk_id, tf, positions) with doclen. A query's
-terms are literals, so the filter on term reaches the scan of a stored index,
-and only the matching postings are aggregated. Scores are exact BM25 with
-k1 = 1.2 and b = 0.75; ties go to the smaller id.
+The index is postings (term, chunk_id, dl, tf, positions) with doclen. A
+query's terms are literals, so the filter on term reaches the scan of a stored
+index, and only the matching postings are read; they carry their chunk's
+length. An index that isn't stored keeps each chunk's tokens in one row, and
+only tokens of the query leave it. Scores are exact BM25 with k1 = 1.2 and
+b = 0.75; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ HIT = "chunk_id string, score double, raw_score double"
 
 @dataclass
 class TextIndex:
-    """postings and doclen tables, and the analyzer that made them."""
+    """postings and doclen tables, and the analyzer that made them; tokens (chunk_id, dl, tokens) where it isn't stored."""
 
     postings: DataFrame
     doclen: DataFrame
     analyzer: str = "words"
+    tokens: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
@@ -38,14 +41,26 @@ class TextIndex:
         spark = self.postings.sparkSession
         return spark.range(1).select(analyze.ANALYZERS[self.analyzer](F.lit(text)).alias("t")).first()["t"] or []
 
+    def of_terms(self, terms: list[str]) -> DataFrame:
+        """The postings of these terms."""
+        if self.tokens is None:
+            return self.postings.where(F.col("term").isin(*sorted(set(terms))))
+        placed = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+        wanted = F.filter(placed, lambda x: x["term"].isin(*sorted(set(terms))))
+        return _postings(self.tokens.select("chunk_id", "dl", F.explode_outer(wanted).alias("at")).where("at is not null").select("chunk_id", "dl", "at.*"))
+
+
+def _postings(at: DataFrame) -> DataFrame:
+    """Postings of tokens (chunk_id, dl, term, position)."""
+    return at.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+
 
 def build(chunks: DataFrame, analyzer: str = "words", text: str = "text", key: str = "chunk_id") -> TextIndex:
-    """The index of all chunks that aren't blank. Terms are counted within their chunk before anything is shuffled."""
+    """The index of all chunks. Terms are counted within their chunk before anything is shuffled."""
     tokens = chunks.select(F.col(key).alias("chunk_id"), analyze.ANALYZERS[analyzer](F.col(text)).alias("tokens"))
-    doclen = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"))
-    at = tokens.select("chunk_id", F.posexplode("tokens").alias("position", "term"))
-    postings = at.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    return TextIndex(postings, doclen, analyzer)
+    tokens = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"), "tokens")
+    postings = _postings(tokens.select("chunk_id", "dl", F.posexplode("tokens").alias("position", "term")))
+    return TextIndex(postings, tokens.select("chunk_id", "dl"), analyzer, tokens)
 
 
 def empty_hits(spark) -> DataFrame:
@@ -56,35 +71,41 @@ def logistic(raw: Column) -> Column:
     return 1 / (1 + F.exp(-raw))
 
 
-def weighted_postings(index: TextIndex, terms: list[str]) -> DataFrame:
-    """(term, chunk_id, w): the BM25 weight of every posting of the query's terms."""
-    terms = sorted(set(terms))
-    some = index.postings.where(F.col("term").isin(*terms)).select("term", "chunk_id", "tf")
-    df = some.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row per query term
-    stats = index.stats
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+def clause_weights(index: TextIndex, clauses: list[list[str]]) -> DataFrame:
+    """(clause, chunk_id, w): the BM25 weight of every chunk that a clause, a term or a phrase of terms, matches.
+
+    A phrase counts its places in the chunk and has the sum of its terms' rarities.
+    """
+    spark = index.postings.sparkSession
+    rows = [(n, term, i, len(terms)) for n, terms in enumerate(clauses) for i, term in enumerate(terms)]
+    places = spark.createDataFrame(rows, "clause int, term string, offset int, width int")  # as many rows as the query has terms
+    some = index.of_terms([term for _, term, _, _ in rows])
+    df = some.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = F.broadcast(index.stats)  # one row
+    idf = df.join(stats).select("term", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    rarity = places.join(F.broadcast(idf), "term").groupBy("clause").agg(F.sum("idf").alias("idf"), F.first("avg_dl").alias("avg_dl"))
+    found = some.join(F.broadcast(places), "term")
+    counted = found.where("width = 1").select("clause", "chunk_id", "dl", F.col("tf").cast("long").alias("tf"))
+    if any(len(terms) > 1 for terms in clauses):
+        starts = found.where("width > 1").select("clause", "chunk_id", "dl", "width", "offset", F.explode("positions").alias("position"))
+        starts = starts.groupBy("clause", "chunk_id", "dl", "width", (F.col("position") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where("n = width")
+        counted = counted.unionByName(starts.groupBy("clause", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avg_dl"))
-    lengths = index.doclen.join(F.broadcast(stats))  # stats is one row
-    return some.join(F.broadcast(df), "term").join(lengths, "chunk_id").select("term", "chunk_id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("w"))
+    return counted.join(F.broadcast(rarity), "clause").select("clause", "chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("w"))
 
 
 def score_terms(index: TextIndex, terms: list[str], require_all: bool) -> DataFrame:
     """(chunk_id, raw_score) over the terms: any of them, or all."""
-    hits = weighted_postings(index, terms).groupBy("chunk_id").agg(F.sum("w").alias("raw_score"), F.count(F.lit(1)).alias("matched"))
+    terms = sorted(set(terms))
+    hits = clause_weights(index, [[t] for t in terms]).groupBy("chunk_id").agg(F.sum("w").alias("raw_score"), F.count(F.lit(1)).alias("matched"))
     if require_all:
-        hits = hits.where(F.col("matched") == len(set(terms)))
+        hits = hits.where(F.col("matched") == len(terms))
     return hits.select("chunk_id", "raw_score")
 
 
 def phrase_matches(index: TextIndex, terms: list[str]) -> DataFrame:
     """(chunk_id) where the terms stand one after the other."""
-    placed = index.postings.where(F.col("term").isin(*sorted(set(terms)))).select("term", "chunk_id", F.explode("positions").alias("position"))
-    starts = [placed.where(F.col("term") == t).select("chunk_id", (F.col("position") - i).alias("start")) for i, t in enumerate(terms)]
-    every = starts[0]
-    for i, more in enumerate(starts[1:], 1):
-        every = every.unionAll(more)
-    # a phrase starts where each of its places is filled; the union has one row per place
-    return every.groupBy("chunk_id", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select("chunk_id").distinct()
+    return clause_weights(index, [terms]).select("chunk_id")
 
 
 def search(index: TextIndex, query: str, top_k: int = 10, fetch_factor: int = 10, clauses: list | None = None, chunks: DataFrame | None = None, mode: str = "parsed", raw_fetch: bool = False) -> DataFrame:
@@ -114,32 +135,35 @@ def search(index: TextIndex, query: str, top_k: int = 10, fetch_factor: int = 10
     return out if raw_fetch else out.limit(top_k)
 
 
+def clauses_of(index: TextIndex, query: str) -> list[tuple[str, list[str]]]:
+    """(occur, terms) of each clause of a query; a word of several terms is a phrase, one of none is no clause."""
+    made = [(c.occur, index.terms_of(c.text)) for c in parse(query).clauses]
+    made = [(occur, terms) for occur, terms in made if terms]
+    return made if any(occur != "must_not" for occur, _ in made) else []
+
+
+def _judged(occurs: list[str], first: int = 0) -> tuple[Column, Column]:
+    """Of the clauses first, first + 1, ...: the score as an aggregate, and whether the chunk is a hit.
+
+    Required clauses have all to match, forbidden ones not to; without required
+    ones, one optional clause has to. Optional clauses add to the score.
+    """
+    numbers = {kind: [first + n for n, occur in enumerate(occurs) if occur == kind] for kind in ("must", "should", "must_not")}
+    n = lambda kind: F.sum(F.col("clause").isin(*numbers[kind]).cast("int")) if numbers[kind] else F.lit(0)
+    hit = (n("must") == len(numbers["must"])) & (n("must_not") == 0)
+    if not numbers["must"]:
+        hit &= n("should") > 0
+    return F.sum(F.when(F.col("clause").isin(*numbers["must"], *numbers["should"]), F.col("w"))), hit
+
+
 def parsed_scores(index: TextIndex, query: str) -> DataFrame | None:
-    parsed = parse(query)
-    if parsed.empty:
-        return None
-    single, phrases = [], [index.terms_of(p) for p in parsed.phrases]
-    must, must_not = [], []
-    for source, into in ((parsed.should, single), (parsed.must, must), (parsed.must_not, must_not)):
-        for word in source:
-            terms = index.terms_of(word)
-            if len(terms) > 1 and into is not must_not:
-                phrases.append(terms)  # a word of several terms is a phrase
-            else:
-                into += terms
-    phrases = [p for p in phrases if p]
-    scored = single + must + [t for p in phrases for t in p]
-    if not scored:
+    """(chunk_id, raw_score) of the search syntax, in one aggregate over the clauses' hits."""
+    clauses = clauses_of(index, query)
+    if not clauses:
         return None
-    hits = score_terms(index, scored, False)
-    if must:
-        has = index.postings.where(F.col("term").isin(*sorted(set(must)))).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
-        hits = hits.join(has.where(F.col("n") == len(set(must))).select("chunk_id"), "chunk_id", "left_semi")
-    for phrase in phrases if not single else []:
-        hits = hits.join(phrase_matches(index, phrase), "chunk_id", "left_semi")
-    if must_not:
-        hits = hits.join(index.postings.where(F.col("term").isin(*sorted(set(must_not)))).select("chunk_id").distinct(), "chunk_id", "left_anti")
-    return hits
+    weights = clause_weights(index, [terms for _, terms in clauses])
+    raw, hit = _judged([occur for occur, _ in clauses])
+    return weights.groupBy("chunk_id").agg(raw.alias("raw_score"), hit.alias("hit")).where("hit").select("chunk_id", "raw_score")
 
 
 def triple(index: TextIndex, query: str) -> DataFrame:
@@ -148,6 +172,11 @@ def triple(index: TextIndex, query: str) -> DataFrame:
     terms = sorted(set(index.terms_of(query))) if (query or "").strip() else []
     if not terms:
         return spark.createDataFrame([], "chunk_id string, tv double, tv_and double, tv_or double")
-    hits = weighted_postings(index, terms).groupBy("chunk_id").agg(F.sum("w").alias("raw"), F.count(F.lit(1)).alias("matched"))
-    score = logistic(F.col("raw"))
-    return hits.select("chunk_id", score.alias("tv"), F.when(F.col("matched") == len(terms), score).alias("tv_and"), score.alias("tv_or"))
+    clauses = clauses_of(index, query)
+    weights = clause_weights(index, [[t] for t in terms] + [c for _, c in clauses])
+    raw, _ = _judged(["should"] * len(terms))
+    parsed, hit = _judged([occur for occur, _ in clauses], len(terms)) if clauses else (F.lit(None), F.lit(False))
+    matched = F.sum((F.col("clause") < len(terms)).cast("int"))
+    hits = weights.groupBy("chunk_id").agg(raw.alias("raw"), matched.alias("matched"), F.when(hit, parsed).cast("double").alias("parsed"))
+    tv_or = logistic(F.col("raw"))
+    return hits.select("chunk_id", logistic(F.col("parsed")).alias("tv"), F.when(F.col("matched") == len(terms), tv_or).alias("tv_and"), tv_or.alias("tv_or"))

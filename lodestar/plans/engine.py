@@ -57,6 +57,14 @@ class Engine:
     def vectors(self) -> DataFrame:
         return self.store.vectors
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.store.table("postings")
+
+    def match_count(self, clauses: list) -> int:
+        """How many chunks a filter matches."""
+        return flt.keep(self.chunks, clauses).count()
+
     def status(self) -> dict:
         manifest = self.store.manifest()
         return {"version": manifest["version"], "text_ready": "postings" in manifest["tables"], "vectors_ready": "vectors" in manifest["tables"], "embedder": self.embedder.model_id}
@@ -84,17 +92,21 @@ class Engine:
         return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def ingest_chunks(self, chunks: DataFrame, files: DataFrame | None = None, mode: str = "replace", embed: bool = True) -> int:
-        return self.store.upsert(chunks, files, embed_chunks(chunks, self.embedder) if embed else None, mode)
+        return self.store.upsert(chunks, files, (lambda kept: embed_chunks(kept, self.embedder)) if embed else None, mode)
 
     def ingest_files(self, path: str | DataFrame, encoding: str = "utf-8", doc_id: str | None = None, mode: str = "replace", pdf_backend=None, at: str | None = None) -> DataFrame:
         """Ingests files below a path, or rows (path, content, size, modified, encoding); returns the rejects with their reasons."""
         files = path if isinstance(path, DataFrame) else sources.read_files(self.spark, path)
         if doc_id and files.limit(2).count() > 1:
             raise ValueError("one doc_id for several files would make them overwrite each other")
-        segments = sources.read_segments(files, self.config.chunk, encoding, pdf_backend)
-        chunks, records, rejects = sources.to_records(files, segments, at or self._now(), doc_id)
-        self.ingest_chunks(chunks, records, mode)
-        return rejects
+        segments, stage = self.store.staged(sources.read_segments(files, self.config.chunk, encoding, pdf_backend), "segments")  # parsed once
+        try:
+            chunks, records, rejects = sources.to_records(files, segments, at or self._now(), doc_id)
+            self.ingest_chunks(chunks, records, mode)
+            broken = rejects.collect()  # paths and reasons of unreadable files
+        finally:
+            self.store._delete(stage)
+        return self.spark.createDataFrame(broken, rejects.schema)
 
     def ingest_text(self, text: str, at: str | None = None) -> str:
         """Ingests one text under an id made from its content; the chunk's id."""
@@ -121,32 +133,35 @@ class Engine:
 
     def search_text(self, query: str, top_k: int = 10, clauses: list | None = None, fetch_factor: int = 10, mode: str = "parsed", raw_fetch: bool = False) -> DataFrame:
         """Hits with their chunks, best first."""
-        hits = textsearch.search(self.store.text_index(), query, top_k, fetch_factor, clauses, self.chunks, mode, raw_fetch)
-        return fusion.project_hits(fusion.hydrate(hits, self.chunks)).orderBy(F.col("score").desc(), "chunk_id")
+        at = self.store.pinned()
+        hits = textsearch.search(at.text_index(), query, top_k, fetch_factor, clauses, at.chunks, mode, raw_fetch)
+        return fusion.project_hits(fusion.hydrate(hits, at.chunks)).orderBy(F.col("score").desc(), "chunk_id")
 
-    def _vector_leg(self, query: str, top_k: int, clauses: list | None) -> DataFrame:
-        vectors = self.vectors
+    def _vector_leg(self, at: Store, query: str, top_k: int, clauses: list | None) -> DataFrame:
+        vectors = at.vectors
         if clauses and self.config.strict_filters:
-            vectors = vectors.join(flt.keep(self.chunks, clauses).select("chunk_id"), "chunk_id", "left_semi")
+            vectors = vectors.join(flt.keep(at.chunks, clauses).select("chunk_id"), "chunk_id", "left_semi")
         if not (query or "").strip() or top_k <= 0:
             return self.spark.createDataFrame([], vector.HIT)
         return vector.knn(vectors, self.embedder.embed([query])[0], top_k)
 
     def search_hybrid(self, query: str, top_k: int = 10, clauses: list | None = None, w_text: float = 0.5, w_vec: float = 0.5) -> DataFrame:
         """Weighted sum of the text and the vector leg; one plan, both legs independent."""
-        text = textsearch.search(self.store.text_index(), query, top_k, 10, clauses, self.chunks, raw_fetch=True)
-        hits = fusion.hybrid(text, self._vector_leg(query, top_k, clauses), w_text, w_vec, top_k)
-        return fusion.project_hits(fusion.hydrate(hits.drop("text", "vec"), self.chunks)).orderBy(F.col("score").desc(), "chunk_id")
+        at = self.store.pinned()
+        text = textsearch.search(at.text_index(), query, top_k, 10, clauses, at.chunks, raw_fetch=True)
+        hits = fusion.hybrid(text, self._vector_leg(at, query, top_k, clauses), w_text, w_vec, top_k)
+        return fusion.project_hits(fusion.hydrate(hits.drop("text", "vec"), at.chunks)).orderBy(F.col("score").desc(), "chunk_id")
 
     def search_multi(self, query: str, top_k: int = 10, weights: dict | None = None, mode: str = "hybrid", clauses: list | None = None) -> DataFrame:
         """Parsed, AND, OR and vector scores side by side, ranked by the weights and the mode."""
-        triple = textsearch.triple(self.store.text_index(), query)
+        at = self.store.pinned()
+        triple = textsearch.triple(at.text_index(), query)
         legs = {name: triple.where(F.col(name).isNotNull()).select("chunk_id", F.col(name).alias("score")) for name in ("tv", "tv_and", "tv_or")}
-        wide = fusion.pivot_legs(legs | {"vec": self._vector_leg(query, top_k * 10, clauses)})
+        wide = fusion.pivot_legs(legs | {"vec": self._vector_leg(at, query, top_k * 10, clauses)})
         if clauses:
-            wide = wide.join(flt.keep(self.chunks, clauses).select("chunk_id"), "chunk_id", "left_semi")
+            wide = wide.join(flt.keep(at.chunks, clauses).select("chunk_id"), "chunk_id", "left_semi")
         hits = fusion.fuse(wide, weights or fusion.PRESET_NORMALISED, mode, top_k)
-        return fusion.project_hits(fusion.hydrate(hits, self.chunks)).orderBy(F.col("score").desc(), "chunk_id")
+        return fusion.project_hits(fusion.hydrate(hits, at.chunks)).orderBy(F.col("score").desc(), "chunk_id")
 
     def explain_query(self, query: str) -> dict:
         """What each analyzer makes of a query, and how it is parsed."""
@@ -166,7 +181,7 @@ class Engine:
     def render_prompt(self, hits: DataFrame, query: str, top_k: int, template: str = "default") -> str:
         """The prompt of a result, with the neighbours' texts around each hit's."""
         chosen = self.config.prompts.by_name[template]
-        docs = self.chunks.join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+        docs = self.chunks.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
         context = sequence.context_text(docs, chosen.prev, chosen.next).select("chunk_id", "context")
         full = hits.drop("context").join(context, "chunk_id").withColumn("text", F.col("context"))
         row = templates.render(full, chosen, query, top_k).first()

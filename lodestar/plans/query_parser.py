@@ -13,16 +13,42 @@ from dataclasses import dataclass, field
 _PIECE = re.compile(r'([+-]?)(?:"([^"]*)"|(\S+))')
 
 
+@dataclass(frozen=True)
+class Clause:
+    """A word or phrase; occur is `should`, `must` or `must_not`."""
+
+    occur: str
+    text: str
+    quoted: bool = False
+
+
 @dataclass
 class ParsedQuery:
-    should: list[str] = field(default_factory=list)
-    must: list[str] = field(default_factory=list)
-    must_not: list[str] = field(default_factory=list)
-    phrases: list[str] = field(default_factory=list)
+    clauses: list[Clause] = field(default_factory=list)
+
+    def _words(self, occur: str) -> list[str]:
+        return [c.text for c in self.clauses if c.occur == occur and not c.quoted]
+
+    @property
+    def should(self) -> list[str]:
+        return self._words("should")
+
+    @property
+    def must(self) -> list[str]:
+        return self._words("must")
+
+    @property
+    def must_not(self) -> list[str]:
+        return self._words("must_not")
+
+    @property
+    def phrases(self) -> list[str]:
+        """Quoted phrases that aren't forbidden."""
+        return [c.text for c in self.clauses if c.quoted and c.occur != "must_not"]
 
     @property
     def empty(self) -> bool:
-        return not (self.should or self.must or self.phrases)
+        return all(c.occur == "must_not" for c in self.clauses)
 
 
 def parse(text: str | None) -> ParsedQuery:
@@ -30,24 +56,20 @@ def parse(text: str | None) -> ParsedQuery:
     text = text or ""
     if text.count('"') % 2:
         return out
-    pieces = list(_PIECE.finditer(text))
-    for i, m in enumerate(pieces):
-        sign, phrase, word = m.groups()
-        if phrase is not None:
-            if phrase.strip():
-                (out.must_not if sign == "-" else out.phrases).append(phrase)
-            continue
-        if word in ("AND", "OR", "NOT"):
-            continue
-        word = word.strip("()")
-        if not word:
+    pieces = [(sign, quoted is not None, quoted if quoted is not None else word) for sign, quoted, word in (m.groups() for m in _PIECE.finditer(text))]
+    operator = lambda i, name: 0 <= i < len(pieces) and pieces[i] == ("", False, name)
+    for i, (sign, quoted, what) in enumerate(pieces):
+        if not quoted:
+            if sign == "" and what in ("AND", "OR", "NOT"):
+                continue
+            what = what.strip("()")
+        if not what.strip():
             continue
-        before = pieces[i - 1].group(3) if i else None
-        after = pieces[i + 1].group(3) if i + 1 < len(pieces) else None
-        if sign == "-" or before == "NOT":
-            out.must_not.append(word)
-        elif sign == "+" or before == "AND" or after == "AND":
-            out.must.append(word)
+        if sign == "-" or operator(i - 1, "NOT"):
+            occur = "must_not"
+        elif sign == "+" or operator(i - 1, "AND") or operator(i + 1, "AND"):
+            occur = "must"
         else:
-            out.should.append(word)
+            occur = "should"
+        out.clauses.append(Clause(occur, what, quoted))
     return out

@@ -1,17 +1,21 @@
-"""A versioned store: immutable snapshot folders of Parquet tables, and a manifest that names the current one.
-
-A write makes a new folder and then swaps the manifest by a rename, so readers
-see all of a write or nothing, and a failed one leaves no trace in what they
-see. Paths go through Hadoop's file system, so the store may lie anywhere.
+"""A versioned store: immutable snapshot folders of Parquet tables, and a log of manifests of which the last is current.
+
+A write makes a new folder and then adds manifest n + 1, by a rename that fails
+if another writer has added it meanwhile: that write raises StaleWrite and
+changes nothing. Readers see all of a write or nothing; pinned() keeps one
+manifest for all that is read through it. Paths go through Hadoop's file
+system, so the store may lie anywhere. The text index is sorted by term, so a
+query's terms touch few row groups.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar import schema
@@ -26,9 +30,20 @@ class IndexNotReady(RuntimeError):
     """The store has no snapshot yet."""
 
 
+class StaleWrite(RuntimeError):
+    """Another writer has added a version since this one read the store."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, analyzer: str = "words"):
         self.spark, self.root, self.analyzer = spark, root.rstrip("/"), analyzer
+        self._pin: dict | None = None
+
+    def pinned(self) -> Store:
+        """This store as it is now, for any number of reads."""
+        out = Store(self.spark, self.root, self.analyzer)
+        out._pin = self.manifest()
+        return out
 
     # --- files and manifest ---
 
@@ -36,25 +51,36 @@ class Store:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
+    def _versions(self) -> dict[int, str]:
+        fs, at = self._fs(f"{self.root}/manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return {int(n.removesuffix(".json")): n for n in names if n.removesuffix(".json").isdigit()}
+
     def manifest(self) -> dict:
-        fs, at = self._fs(f"{self.root}/manifest.json")
-        if not fs.exists(at):
+        if self._pin is not None:
+            return self._pin
+        versions = self._versions()
+        if not versions:
             return {"version": 0, "tables": {}}
-        rows = self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).first()
-        return json.loads(rows["value"])
+        row = self.spark.read.text(f"{self.root}/manifests/{versions[max(versions)]}", wholetext=True).first()
+        return json.loads(row["value"])
 
-    def _swap(self, manifest: dict) -> None:
-        fs, at = self._fs(f"{self.root}/manifest.json")
-        _, fresh = self._fs(f"{self.root}/manifest-{uuid.uuid4().hex}.tmp")
+    def _add(self, manifest: dict) -> None:
+        """Adds a manifest under its version, or raises StaleWrite if there is one."""
+        fs, fresh = self._fs(f"{self.root}/manifests/{uuid.uuid4().hex}.tmp")
+        _, at = self._fs(f"{self.root}/manifests/{manifest['version']:08d}.json")
         stream = fs.create(fresh, True)
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
-        # one rename that replaces the old manifest, so there is always one to read
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
-        rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
-        options = gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, at, options)
+        options = gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)  # none: the target must not be there
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, at, options)
+        except Py4JJavaError as error:
+            fs.delete(fresh, False)
+            if fs.exists(at):
+                raise StaleWrite(f"version {manifest['version']} of {self.root} was written by another writer") from error
+            raise
 
     def table(self, name: str) -> DataFrame:
         path = self.manifest()["tables"].get(name)
@@ -62,17 +88,34 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}")
 
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes tables as one snapshot; the others stay as they are."""
-        manifest = self.manifest()
-        version = manifest["version"] + 1
+    def commit(self, tables: dict[str, DataFrame], base: dict | None = None) -> int:
+        """Writes tables as one snapshot on top of base (the manifest they were made from); the others stay as they are."""
+        base = base or self.manifest()
+        version, paths = base["version"] + 1, dict(base["tables"])
+        folder = f"snapshots/{version:08d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
-            path = f"snapshots/{version:08d}-{uuid.uuid4().hex[:8]}/{name}"
-            schema.conform(df, TABLES[name]).write.parquet(f"{self.root}/{path}")
-            manifest["tables"][name] = path
-        self._swap(manifest | {"version": version})
+            paths[name] = f"{folder}/{name}"
+            rows = schema.conform(df, TABLES[name])
+            if name == "postings":
+                rows = rows.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+            rows.write.parquet(f"{self.root}/{paths[name]}")
+        try:
+            self._add({"version": version, "tables": paths})
+        except StaleWrite:
+            self._delete(folder)
+            raise
         return version
 
+    def _delete(self, path: str) -> None:
+        fs, at = self._fs(f"{self.root}/{path}")
+        fs.delete(at, True)
+
+    def staged(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """df written once below the store, and its path there, to be deleted when the write that reads it is over."""
+        path = f"staging/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{path}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{path}"), path
+
     @property
     def chunks(self) -> DataFrame:
         return self.table("chunks")
@@ -86,9 +129,10 @@ class Store:
         return self.table("vectors")
 
     def text_index(self) -> textsearch.TextIndex:
-        if "postings" not in self.manifest()["tables"]:
+        at = self.pinned()
+        if "postings" not in at.manifest()["tables"]:
             raise IndexNotReady(f"{self.root} has no text index")
-        return textsearch.TextIndex(self.table("postings"), self.table("doclen"), self.analyzer)
+        return textsearch.TextIndex(at.table("postings"), at.table("doclen"), self.analyzer)
 
     # --- writes ---
 
@@ -97,73 +141,96 @@ class Store:
         index = textsearch.build(chunks, self.analyzer)
         return {"postings": index.postings, "doclen": index.doclen}
 
-    def upsert(self, chunks: DataFrame, files: DataFrame | None = None, vectors: DataFrame | None = None, mode: str = "replace") -> int:
+    def upsert(self, chunks: DataFrame, files: DataFrame | None = None, vectors: DataFrame | Callable[[DataFrame], DataFrame] | None = None, mode: str = "replace") -> int:
         """Puts chunks, files and vectors; blank chunks go nowhere.
 
         mode `replace` drops a document's old chunks; `upsert` replaces equal
-        ids only, and keeps the ord of an id that was there.
+        ids only, and keeps the ord of an id that was there. Of several rows of
+        one chunk_id that of the largest ord (then text) stays. vectors may be
+        a function of the chunks that stay; of a table's several vectors of one
+        chunk_id the least stays.
         """
+        now = self.pinned()
         fresh = schema.conform(chunks, schema.CHUNKS).where(scalars.is_valid_chunk(F.col("text")))
-        fresh = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("ord").desc_nulls_last()))).where("_n = 1").drop("_n")
-        old = self.chunks
+        last = Window.partitionBy("chunk_id").orderBy(F.col("ord").desc_nulls_last(), F.col("text").desc(), F.col("doc_id").desc())
+        fresh, stage = self.staged(fresh.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n"), "chunks")
+        old = now.chunks
         if mode == "replace":
             kept = old.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+            put = fresh
         else:
             places = old.select("chunk_id", F.col("ord").alias("_ord"))
-            fresh = fresh.join(places, "chunk_id", "left").withColumn("ord", F.coalesce("_ord", "ord")).drop("_ord")
+            put = fresh.join(places, "chunk_id", "left").withColumn("ord", F.coalesce("_ord", "ord")).drop("_ord")
             kept = old.join(fresh.select("chunk_id"), "chunk_id", "left_anti")
-        merged = kept.unionByName(schema.conform(fresh, schema.CHUNKS))
+        merged = kept.unionByName(schema.conform(put, schema.CHUNKS))
         tables = {"chunks": merged, **self._index(merged)}
         if vectors is not None:
-            new = schema.conform(vectors, schema.VECTORS).where("size(vec) = dim").dropDuplicates(["chunk_id"])
-            live = self.vectors.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
+            new = vectors(fresh) if callable(vectors) else vectors
+            least = Window.partitionBy("chunk_id").orderBy("vec")
+            new = schema.conform(new, schema.VECTORS).where("size(vec) = dim").withColumn("_n", F.row_number().over(least)).where("_n = 1").drop("_n")
+            live = now.vectors.join((fresh if callable(vectors) else new).select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
             tables["vectors"] = live.join(merged.select("chunk_id"), "chunk_id", "left_semi")
         if files is not None:  # last, so a failed write leaves no file without chunks
-            new = schema.conform(files, schema.FILES).dropDuplicates(["doc_id"])
-            tables["files"] = self.files.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
-        return self.commit(tables)
+            first = Window.partitionBy("doc_id").orderBy("source_uri", "content_sha256")
+            new = schema.conform(files, schema.FILES).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+            tables["files"] = now.files.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+        try:
+            return self.commit(tables, now.manifest())
+        finally:
+            self._delete(stage)
 
     def delete(self, clauses: list, batch: int = 1000, allow_all: bool = False) -> dict:
         """Deletes the chunks of a filter with their vectors, postings and orphaned files; the report counts them."""
         if not clauses and not allow_all:
             raise ValueError("a delete without a filter takes everything: say allow_all=True")
-        chunks = self.chunks
-        gone = flt.predicate(clauses)
-        total = chunks.where(gone).count()
-        left = chunks.where(~gone)
-        tables = {"chunks": left, **self._index(left), "vectors": self.vectors.join(left.select("chunk_id"), "chunk_id", "left_semi")}
-        tables["files"] = self.files.join(left.select("doc_id"), "doc_id", "left_semi")
-        self.commit(tables)
+        total = self._keep_chunks(~flt.predicate(clauses), files=True)
         return {"total_ids": total, "db_deleted": total, "text_delete_attempts": total, "vector_delete_attempts": total, "batches": -(-total // batch)}
 
     def delete_ids(self, ids: list[str]) -> dict:
-        tests = [F.col("chunk_id").isin(*ids)] if ids else [F.lit(False)]
-        gone = reduce(lambda a, b: a | b, tests)
-        total = self.chunks.where(gone).count()
-        left = self.chunks.where(~F.coalesce(gone, F.lit(False)))
-        self.commit({"chunks": left, **self._index(left), "vectors": self.vectors.join(left.select("chunk_id"), "chunk_id", "left_semi")})
+        total = self._keep_chunks(~F.coalesce(F.col("chunk_id").isin(*ids), F.lit(False)) if ids else F.lit(True))
         return {"total_ids": total, "db_deleted": total}
 
+    def _keep_chunks(self, stays: Column, files: bool = False) -> int:
+        """Drops all chunks but those that stay from every table; how many went. The rows of the others are copied, not made anew."""
+        now = self.pinned()
+        left, gone = now.chunks.where(stays), now.chunks.where(~stays).select("chunk_id")
+        total = gone.count()
+        tables = {"chunks": left} | {name: now.table(name).join(gone, "chunk_id", "left_anti") for name in ("postings", "doclen", "vectors")}
+        if files:
+            tables["files"] = now.files.join(left.select("doc_id"), "doc_id", "left_semi")
+        self.commit(tables, now.manifest())
+        return total
+
     def delete_files(self, doc_ids: list[str]) -> int:
         """Deletes file records by document."""
+        now = self.pinned()
         gone = F.coalesce(F.col("doc_id").isin(*doc_ids), F.lit(False)) if doc_ids else F.lit(False)
-        n = self.files.where(gone).count()
-        self.commit({"files": self.files.where(~gone)})
+        n = now.files.where(gone).count()
+        self.commit({"files": now.files.where(~gone)}, now.manifest())
         return n
 
     def cleanup_orphans(self) -> int:
         """Drops file records without chunks."""
-        files = self.files
-        left = files.join(self.chunks.select("doc_id"), "doc_id", "left_semi")
-        n = files.count() - left.count()
-        self.commit({"files": left})
+        now = self.pinned()
+        left = now.files.join(now.chunks.select("doc_id"), "doc_id", "left_semi")
+        n = now.files.count() - left.count()
+        self.commit({"files": left}, now.manifest())
         return n
 
     def rebuild_text_index(self) -> int:
-        return self.commit(self._index(self.chunks))
+        now = self.pinned()
+        return self.commit(self._index(now.chunks), now.manifest())
+
+    def rebuild_if_empty(self) -> bool:
+        """Rebuilds the text index if it has no rows; whether it did."""
+        empty = self.table("doclen").isEmpty()
+        if empty:
+            self.rebuild_text_index()
+        return empty
 
     def counts(self) -> dict[str, int]:
-        return {name: self.table(name).count() for name in ("chunks", "files", "vectors", "doclen")}
+        now = self.pinned()
+        return {name: now.table(name).count() for name in ("chunks", "files", "vectors", "doclen")}
 
     def reset(self, confirm: str = "") -> None:
         if confirm != "RESET":
@@ -172,8 +239,11 @@ class Store:
         fs.delete(at, True)
 
     def vacuum(self) -> int:
-        """Deletes snapshot folders that the manifest doesn't name; how many."""
+        """Deletes snapshot folders that the current manifest doesn't name, and all older manifests; how many folders."""
+        versions = self._versions()
         used = {p.split("/")[1] for p in self.manifest()["tables"].values()}
+        for version in sorted(versions)[:-1]:
+            self._delete(f"manifests/{versions[version]}")
         fs, at = self._fs(f"{self.root}/snapshots")
         gone = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName() not in used] if fs.exists(at) else []
         for path in gone:

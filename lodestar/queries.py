@@ -143,11 +143,11 @@ def analyzer_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@query(f"SELECT term, count(*) AS df, sum(tf) AS n FROM (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest({_TOKENS}) term FROM documents) GROUP BY ALL) GROUP BY term HAVING count(*) >= 5")
+@query(f"SELECT term, count(*) AS df, sum(tf) AS n FROM (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest({_TOKENS}) term FROM documents) GROUP BY ALL) GROUP BY term")
 def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document and collection frequency of every term of at least five documents."""
+    """Document and collection frequency of every term."""
     postings = textsearch.build(documents(spark, sf_dir)).postings
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).where("df >= 5")
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
 
 
 # --- vectors and fusion ---
@@ -221,9 +221,12 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("label", F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"))
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS text, printf('%.6f', CAST(embedding[1] AS DOUBLE)) AS emb_0, printf('%.6f', CAST(embedding[2] AS DOUBLE)) AS emb_1, printf('%.6f', CAST(embedding[64] AS DOUBLE)) AS emb_63 FROM embeddings")
+_EXPORTED = ", ".join(f"printf('%.6f', CAST(embedding[{i + 1}] AS DOUBLE)) AS emb_{i}" for i in range(64))
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS text, {_EXPORTED} FROM embeddings")
 def embedding_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.export_table(_vectors(spark, sf_dir), "chunk_id", "vec", 64).select("text", "emb_0", "emb_1", "emb_63")
+    return vector.export_table(_vectors(spark, sf_dir), "chunk_id", "vec", 64)
 
 
 @query()
@@ -291,10 +294,10 @@ def files_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.page(_files(spark, sf_dir), [F.col("file_size_bytes").desc(), F.col("doc_id")], 20, 40).select("doc_id", "file_size_bytes")
 
 
-@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 END, 0) DESC, doc_id) AS INTEGER) AS place FROM documents QUALIFY place <= 50")
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 END, 0) DESC, doc_id) AS INTEGER) AS place FROM documents")
 def files_sorted_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = sequence.sort_files(_files(spark, sf_dir), "pages", descending=True).limit(50)
-    return top.select("doc_id", F.row_number().over(Window.orderBy(F.coalesce("page_count", F.lit(0)).desc(), "doc_id")).alias("place"))
+    files = sequence.sort_files(_files(spark, sf_dir), "pages", descending=True)
+    return files.select("doc_id", F.row_number().over(Window.orderBy(F.coalesce("page_count", F.lit(0)).desc(), "doc_id")).alias("place"))
 
 
 @query("SELECT doc_id, place FROM (VALUES (5, 0), (3, 2), (11, 3)) v(id, place) JOIN documents ON doc_id = id")
@@ -346,7 +349,7 @@ def cut_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, CASE WHEN len(text) > 20 THEN substr(text, 1, 20) || '…' ELSE text END AS cut, translate(CASE WHEN len(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END, chr(10) || chr(13) || chr(9), '   ') AS flat,
-    replace(replace(replace(substr(text, 1, 300), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS json,
+    replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS json,
     sha256(text) AS sha, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 102.4 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars / 104857.6 + 0.5) / 10) END AS size,
     'txt' AS ext, doc_id || '.txt' AS base, source || '-' || lang AS safe FROM documents"""
 )
@@ -354,7 +357,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, text = table(spark, sf_dir, "documents"), F.col("text")
     path = F.concat(F.lit("a/b.c/"), F.col("doc_id").cast("string"), F.lit(".TXT"))
     return d.select(
-        "doc_id", scalars.truncate(text, 20).alias("cut"), scalars.flatten_preview(text).alias("flat"), scalars.escape_json(F.substring(text, 1, 300)).alias("json"), scalars.sha256_hex(text).alias("sha"),
+        "doc_id", scalars.truncate(text, 20).alias("cut"), scalars.flatten_preview(text).alias("flat"), scalars.escape_json(text).alias("json"), scalars.sha256_hex(text).alias("sha"),
         scalars.humanize_bytes(F.col("n_chars")).alias("size"), scalars.extension(path).alias("ext"), F.concat(F.regexp_extract(scalars.basename(path), r"^(.*)\.", 1), F.lit(".txt")).alias("base"),
         scalars.safe_filename(F.concat("source", F.lit(" / "), "lang", F.lit("?"))).alias("safe"),
     )

@@ -16,7 +16,7 @@ FILES = (
 )
 BLOCKS = "doc_id string, ord int, kind string, text string, page_start bigint, page_end bigint, heading_level int, attrs map<string,string>"
 VECTORS = "chunk_id string, vec array<float>, dim int, model_id string, text_repr_version string"
-POSTINGS = "term string, chunk_id string, tf int, positions array<int>"
+POSTINGS = "term string, chunk_id string, dl bigint, tf int, positions array<int>"
 #: Columns that a filter key names before it is looked up in meta.
 RESERVED = ("doc_id", "chunk_id", "source_uri", "source_mime", "extracted_at", "page_start", "page_end")
 

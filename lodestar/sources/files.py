@@ -167,12 +167,11 @@ def write_ndjson(chunks: DataFrame, path: str) -> None:
 
 
 def read_one_column_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True, drop_empty: bool = True) -> DataFrame:
-    """`text`: the trimmed first column."""
-    raw = spark.read.csv(path, header=False, encoding="windows-31j" if encoding.lower() in ("shift_jis", "sjis", "cp932") else encoding, multiLine=True, inferSchema=False)
-    rows = raw.select(scalars.strip(F.regexp_replace(F.coalesce(F.col(raw.columns[0]), F.lit("")), "^﻿", "")).alias("text"), F.monotonically_increasing_id().alias("_n"))
-    if header:
-        rows = rows.where("_n > 0")
-    out = rows.drop("_n")
+    """`text`: the trimmed first column. With header, the first line of every file is one, whatever its names."""
+    name = "windows-31j" if encoding.lower() in ("shift_jis", "sjis", "cp932") else encoding
+    raw = spark.read.csv(path, header=header, encoding=name, multiLine=True, inferSchema=False, escape='"', enforceSchema=True)
+    first = F.col(f"`{raw.columns[0]}`") if raw.columns else F.lit(None).cast("string")
+    out = raw.select(scalars.strip(F.regexp_replace(F.coalesce(first, F.lit("")), "^\ufeff", "")).alias("text"))
     return out.where("text <> ''") if drop_empty else out
 
 

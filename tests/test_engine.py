@@ -9,8 +9,9 @@ from lodestar.operators import fusion, textsearch, vector
 from lodestar.plans import config as cfg
 from lodestar.plans.engine import Engine
 from lodestar.plans.query_parser import parse
-from lodestar.plans.store import IndexNotReady
+from lodestar.plans.store import IndexNotReady, StaleWrite, Store
 from lodestar.plans.templates import PromptTemplate, PromptTemplates, expand, parse_token
+from lodestar.sources import files as sources
 from lodestar.streaming import folder
 
 
@@ -24,33 +25,91 @@ def chunks(spark, rows):
 
 
 ROWS = [
-    ("c1", "d1", "hello world", "2024-01-02T00:00:00Z", 0, "file:///a/x.txt", {"n": "5"}),
-    ("c2", "d1", "greetings earth", "2024-06-01T00:00:00Z", 1, "file:///a/x.txt", {"n": "abc"}),
-    ("c3", "d1", "hello rust", "2025-01-10T00:00:00Z", 2, "file:///b/y.txt", {"n": "11"}),
+    ("c1", "d1", "copper kettle", "2024-01-02T00:00:00Z", 0, "file:///a/x.txt", {"n": "5"}),
+    ("c2", "d1", "walnut table", "2024-06-01T00:00:00Z", 1, "file:///a/x.txt", {"n": "abc"}),
+    ("c3", "d1", "copper wire", "2025-01-10T00:00:00Z", 2, "file:///b/y.txt", {"n": "11"}),
     ("c4", "d2", "  ", "2025-01-10T00:00:00Z", 0, "file:///b/z.txt", {}),
 ]
 
 
-def test_search_with_date_filter(spark, engine):
+def test_search_with_filters(spark, engine):
     engine.ingest_chunks(chunks(spark, ROWS))
     assert engine.repo_counts() == {"chunks": 3, "files": 0, "vectors": 3, "doclen": 3}
-    dates = flt.RangeIsoDate(key="extracted_at", low="2024-01-01", high="2025-01-01", high_open=True)
-    assert [r.chunk_id for r in engine.search_text("hello", clauses=[dates]).collect()] == ["c1"]
-    assert [r.chunk_id for r in engine.search_text("hello").collect()] == ["c1", "c3"]
-    assert engine.search_text("  ").count() == 0 and engine.search_text("hello", top_k=0).count() == 0
-    assert [r.chunk_id for r in engine.search_text('"hello rust"').collect()] == ["c3"]
-    assert {r.chunk_id for r in engine.search_text("hello -rust").collect()} == {"c1"}
-    assert engine.search_text("hello", mode="and").count() == 2
-    assert {r.chunk_id for r in engine.search_hybrid("hello", clauses=[dates]).collect()} == {"c1", "c2"}
-    assert engine.search_multi("hello", mode="text").count() == 2
+    early = flt.RangeIsoDate(key="extracted_at", high="2024-12-31")
+    assert [r.chunk_id for r in engine.search_text("copper", clauses=[early]).collect()] == ["c1"]
+    assert [r.chunk_id for r in engine.search_text("copper").collect()] == ["c1", "c3"]
+    assert engine.search_text("  ").count() == 0 and engine.search_text("copper", top_k=0).count() == 0
+    assert [r.chunk_id for r in engine.search_text('"copper wire"').collect()] == ["c3"]
+    assert {r.chunk_id for r in engine.search_text("copper -wire").collect()} == {"c1"}
+    assert engine.search_text("copper", mode="and").count() == 2
+    assert {r.chunk_id for r in engine.search_hybrid("copper", clauses=[early]).collect()} == {"c1", "c2"}
+    assert engine.search_multi("copper", mode="text").count() == 2
+    assert engine.match_count([flt.DocIdEq(value="d1")]) == 3 and engine.postings.where("term = 'copper'").count() == 2
+
+
+SENTENCES = [("s1", "red copper pipe"), ("s2", "copper pipe and steel rod"), ("s3", "steel pipe with copper"), ("s4", "pipe organ"), ("s5", "steel rod, red"), ("s6", "copper pipe, copper pipe")]
+
+
+@pytest.mark.parametrize(
+    ("query", "ids"),
+    [
+        ('red "copper pipe"', {"s1", "s2", "s5", "s6"}), ('"copper pipe" "steel rod"', {"s1", "s2", "s5", "s6"}), ('+red "copper pipe"', {"s1", "s5"}), ('pipe -"copper pipe"', {"s3", "s4"}),
+        ('+"copper pipe" +"steel rod"', {"s2"}), ('"copper pipe" AND steel', {"s2"}), ("-pipe", set()), ('pipe NOT "pipe organ" NOT steel', {"s1", "s6"}), ("copper-pipe", {"s1", "s2", "s6"}), ("+copper -red -steel", {"s6"}),
+    ],
+)
+def test_search_syntax(spark, query, ids):
+    index = textsearch.build(spark.createDataFrame(SENTENCES, "chunk_id string, text string"))
+    hits = textsearch.parsed_scores(index, query)
+    assert ({r.chunk_id for r in hits.collect()} if hits is not None else set()) == ids
+    assert {r.chunk_id for r in textsearch.triple(index, query).where("tv is not null").collect()} == ids
+
+
+def test_phrases_score_by_their_places(spark):
+    index = textsearch.build(spark.createDataFrame(SENTENCES, "chunk_id string, text string"))
+    score = {r.chunk_id: r.raw_score for r in textsearch.parsed_scores(index, '"copper pipe"').collect()}
+    assert score["s6"] > score["s1"] > score["s2"]  # two places; then the shorter text
+    both = {r.chunk_id: r.raw_score for r in textsearch.parsed_scores(index, 'red "copper pipe"').collect()}
+    assert both["s1"] > score["s1"] and both["s2"] == pytest.approx(score["s2"])
+    stored = textsearch.TextIndex(index.postings, index.doclen)
+    assert {r.chunk_id: r.raw_score for r in textsearch.parsed_scores(stored, '"copper pipe"').collect()} == pytest.approx(score)
+
+
+def test_of_two_writers_one_is_told(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.upsert(chunks(spark, ROWS))
+    base = store.manifest()
+    pinned = store.pinned()
+    store.delete_ids(["c1"])
+    with pytest.raises(StaleWrite):
+        store.commit({"chunks": chunks(spark, ROWS)}, base)
+    assert {r.chunk_id for r in store.chunks.collect()} == {"c2", "c3"} and store.manifest()["version"] == 2
+    assert {r.chunk_id for r in pinned.chunks.collect()} == {"c1", "c2", "c3"}  # still the version it was made from
+    assert {r.chunk_id for r in store.text_index().postings.collect()} == {"c2", "c3"}
+    assert not store.rebuild_if_empty() and store.vacuum() >= 1 and store.manifest()["version"] == 2
+    assert not list((tmp_path / "store").glob("staging/*")) and not list((tmp_path / "store").glob("manifests/*.tmp"))
+
+
+def test_vectors_are_those_of_the_chunks_that_stay(spark, engine):
+    twice = chunks(spark, [("c1", "d1", "old text", "2024", 0, "u", {}), ("c1", "d1", "new text", "2024", 1, "u", {})])
+    engine.ingest_chunks(twice)
+    assert [r.text for r in engine.chunks.collect()] == ["new text"]
+    assert [list(r.vec) for r in engine.vectors.collect()] == [pytest.approx(engine.embedder.embed(["new text"])[0])]
+
+
+def test_csv_headers_of_every_file(spark, tmp_path):
+    for i, text in enumerate(("head,x\n first ,1\n\"two, \"\"lines\"\"\nof one\",2\n", "head,x\nthird,3\n,4\n")):
+        (tmp_path / f"{i}.csv").write_text(text)
+    rows = [r.text for r in sources.read_one_column_csv(spark, f"file://{tmp_path}").collect()]
+    assert sorted(rows) == ["first", "third", 'two, "lines"\nof one']
+    assert sources.read_one_column_csv(spark, f"file://{tmp_path}", header=False, drop_empty=False).count() == 6
 
 
 def test_upsert_delete_and_reports(spark, engine):
     with pytest.raises(IndexNotReady):
         engine.search_text("x")
     engine.ingest_chunks(chunks(spark, ROWS))
-    engine.ingest_chunks(chunks(spark, [("c3", "d1", "hello spark", "2025-01-10", 9, "u", {})]), mode="upsert")
-    assert {(r.chunk_id, r.text, r.ord) for r in engine.chunks.collect()} == {("c1", "hello world", 0), ("c2", "greetings earth", 1), ("c3", "hello spark", 2)}
+    engine.ingest_chunks(chunks(spark, [("c3", "d1", "copper spark", "2025-01-10", 9, "u", {})]), mode="upsert")
+    assert {(r.chunk_id, r.text, r.ord) for r in engine.chunks.collect()} == {("c1", "copper kettle", 0), ("c2", "walnut table", 1), ("c3", "copper spark", 2)}
     assert engine.neighbor_chunks("c2") == ("c1", "c3")
     assert engine.neighbor_chunks("none") == (None, None)
     assert [r.chunk_id for r in engine.get_chunks(["c3", "missing", "c1", "c3"]).collect()] == ["c3", "c1"]
