@@ -282,7 +282,7 @@ def test_languages_are_learned_within_bounds(spark):
 
 def test_url_model_on_held_out_urls(spark):
     """Trained on rules' verdicts of half the URLs, judged on the other half, without the rules."""
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     parts = urlfilter.with_rule(pages.select("page_id", urlfilter.host_of().alias("host"), urlfilter.path_of().alias("path")), urlfilter.RULES).where("ruled is not null")
     rows = [(r.page_id, r.host, r.path, float(r.ruled == "block")) for r in parts.collect()]
     train, test = [r for r in rows if r[0] % 2], [r for r in rows if r[0] % 2 == 0]
