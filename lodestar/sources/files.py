@@ -13,16 +13,17 @@ from lodestar import schema
 from lodestar.functions import scalars
 from lodestar.operators import pdftext
 from lodestar.operators.segment import SegmentParams, segment_document, text_blocks
-from lodestar.sources import office
+from lodestar.sources import office, pdf
 
 #: extensions read as plain text
 TEXT_EXTENSIONS = ("txt", "md", "markdown", "csv", "tsv", "log", "json", "yaml", "yml", "ini", "toml", "cfg", "conf", "rst", "tex", "srt", "properties")
 MIME = {
     "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
     "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "pdf": "application/pdf", "text": "text/plain",
+    "ods": "application/vnd.oasis.opendocument.spreadsheet",
 }
 #: grouping that no chunk of a format crosses
-GROUPING = {"docx": "levels", "pptx": "h1", "xlsx": "h1"}
+GROUPING = {"docx": "levels", "pptx": "h1", "xlsx": "h1", "ods": "h1"}
 
 
 def is_text_like(path: Column, content: Column) -> Column:
@@ -32,9 +33,9 @@ def is_text_like(path: Column, content: Column) -> Column:
 
 
 def format_of(path: Column, content: Column) -> Column:
-    """pdf, docx, pptx, xlsx, text, or null for what no reader takes."""
+    """pdf, docx, pptx, xlsx, ods, text, or null for what no reader takes."""
     ext = scalars.extension(path)
-    return F.when(ext.isin("pdf", "docx", "pptx", "xlsx"), ext).when(is_text_like(path, content), "text")
+    return F.when(ext.isin("pdf", "docx", "pptx", "xlsx", "ods"), ext).when(is_text_like(path, content), "text")
 
 
 def scan(spark: SparkSession, folder: str, extensions: list[str] | None = None, max_depth: int | None = None, preview: int = 48) -> DataFrame:
@@ -66,17 +67,17 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def blocks_of_file(path: str, content: bytes, encoding: str = "utf-8", pdf_backend=None) -> tuple[str | None, list[dict], str | None]:
-    """(format, blocks, error) of one file. pdf_backend(content) gives page texts; there is none by default."""
+    """(format, blocks, error) of one file. pdf_backend is a function from bytes to page texts, `none`, or `text` (the default)."""
     ext = path.rpartition("/")[2].rpartition(".")
     ext = ext[2].lower() if ext[1] and ext[0] else ""
-    readers = {"docx": office.read_docx, "pptx": office.read_pptx, "xlsx": office.read_xlsx}
+    readers = {"docx": office.read_docx, "pptx": office.read_pptx, "xlsx": office.read_xlsx, "ods": office.read_xlsx}
     try:
         if ext in readers:
             return ext, readers[ext](content), None
         if ext == "pdf":
-            if pdf_backend is None:
-                return None, [], "no PDF reader is installed"
-            pages = [pdftext.normalise_page(p) for p in pdf_backend(content)]
+            if pdf_backend == "none":
+                return None, [], "no PDF reader is set"
+            pages = [pdftext.normalise_page(p) for p in (pdf_backend if callable(pdf_backend) else pdf.read_pages)(content)]
             return "pdf", [b for n, p in enumerate(pages, 1) for b in pdftext.page_blocks(p, n)], None
         if ext in TEXT_EXTENSIONS or ext == "" and b"\0" not in content[:2048]:
             return "text", text_blocks(decode_bytes(content, encoding)), None
@@ -213,3 +214,22 @@ def sort_scan(scanned: DataFrame, by: str = "path", descending: bool = False) ->
 def write_embedding_export(table: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """An export_table() as CSV with a header, written as one folder of part files."""
     table.write.option("header", "true").option("encoding", encoding).mode("errorifexists").csv(path)
+
+
+def embedding_workbooks(table: DataFrame, rows_per_book: int = 100_000) -> DataFrame:
+    """(part, content) of an export_table() as workbooks of at most rows_per_book rows, each with a header."""
+    names = table.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list[str]] = []
+        book = lambda rows: pd.DataFrame({"content": [office.write_workbook([names, *rows])]})
+        for batch in batches:
+            for row in batch[names].itertuples(index=False):
+                held.append(list(row))
+                if len(held) >= rows_per_book:
+                    yield book(held)
+                    held = []
+        if held:
+            yield book(held)
+
+    return table.mapInPandas(run, "content binary").select(F.monotonically_increasing_id().alias("part"), "content")

@@ -12,8 +12,10 @@ import posixpath
 import re
 import zipfile
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 CELL_BREAK = "\u2028"
+_PLAIN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")  # what XML can't hold
 #: kana order of list numbers (fixed values)
 KATAKANA = "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワヲン"
 HIRAGANA = "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをん"
@@ -256,6 +258,8 @@ def sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
     out = []
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         book = "xl/workbook.xml"
+        if book not in archive.namelist() and "content.xml" in archive.namelist():
+            return _open_document_sheets(_xml(archive, "content.xml"))
         root, relations = _xml(archive, book), _relations(archive, book)
         table = _xml(archive, "xl/sharedStrings.xml")
         shared = ["".join(t.text or "" for t in item.iter() if name_of(t) == "t") for item in table] if table is not None else []
@@ -278,6 +282,55 @@ def sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
     return out
 
 
+def _open_document_sheets(root) -> list[tuple[str, list[list[str]]]]:
+    """Sheets of an OpenDocument spreadsheet; repeated cells and rows are written out, but not empty ones at the ends."""
+    out = []
+    for table in (t for t in (root.iter() if root is not None else ()) if name_of(t) == "table"):
+        rows: list[list[str]] = []
+        for row in (r for r in table.iter() if name_of(r) == "table-row"):
+            cells: list[str] = []
+            for cell in (c for c in row if name_of(c) in ("table-cell", "covered-table-cell")):
+                kind = attr(cell, "value-type")
+                if kind == "boolean":
+                    text = format_cell("b", "1" if attr(cell, "boolean-value") == "true" else "0")
+                elif kind in ("float", "percentage", "currency"):
+                    text = format_cell("n", attr(cell, "value"))
+                else:
+                    text = format_cell("str", "\n".join("".join(p.itertext()) for p in cell if name_of(p) == "p"))
+                cells.append((text, int(attr(cell, "number-columns-repeated") or 1)))
+            while cells and not cells[-1][0]:
+                cells.pop()
+            written = [text for text, n in cells for _ in range(n)]
+            rows.append((written, int(attr(row, "number-rows-repeated") or 1)))
+        while rows and not rows[-1][0]:
+            rows.pop()
+        out.append((attr(table, "name") or "", [list(cells) for cells, n in rows for _ in range(n)]))
+    return out
+
+
+def write_workbook(rows: list[list[str]], sheet: str = "Sheet1") -> bytes:
+    """A workbook of one sheet of text cells."""
+    def letters(n: int) -> str:
+        return (letters(n // 26 - 1) if n >= 26 else "") + chr(65 + n % 26)
+
+    cell = lambda r, c, text: f'<c r="{letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(_PLAIN.sub("", text or ""))}</t></is></c>'
+    body = "".join(f'<row r="{r}">{"".join(cell(r, c, text) for c, text in enumerate(row))}</row>' for r, row in enumerate(rows, 1))
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    packages = "http://schemas.openxmlformats.org/package/2006"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{packages}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{packages}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{packages}/relationships"><Relationship Id="rId1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, text in parts.items():
+            archive.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+    return out.getvalue()
+
+
 def read_xlsx(content: bytes) -> list[dict]:
     """A heading per sheet, then a paragraph per row that isn't blank: cells by tabs, empty ends cut."""
     out = []

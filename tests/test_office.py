@@ -116,3 +116,37 @@ def test_sql_functions(spark):
     assert register(spark) == ["ls_segments", "ls_normalise_page"]
     row = spark.sql("SELECT ls_segments('a b')[0].text AS s, ls_normalise_page('x\n- 1 -') AS p").first()
     assert (row.s, row.p) == ("a b", "x")
+
+
+def test_open_document_sheets():
+    import io
+    import zipfile
+
+    from lodestar.sources import office
+
+    t, o, x = "urn:oasis:names:tc:opendocument:xmlns:table:1.0", "urn:oasis:names:tc:opendocument:xmlns:office:1.0", "urn:oasis:names:tc:opendocument:xmlns:text:1.0"
+    rows = (
+        '<t:table-row><t:table-cell o:value-type="string"><x:p>head</x:p></t:table-cell><t:table-cell t:number-columns-repeated="2"/><t:table-cell o:value-type="float" o:value="3.0"><x:p>3</x:p></t:table-cell></t:table-row>'
+        '<t:table-row t:number-rows-repeated="2"><t:table-cell o:value-type="boolean" o:boolean-value="true"/><t:table-cell><x:p>a</x:p><x:p>b<x:span>c</x:span></x:p></t:table-cell><t:table-cell t:number-columns-repeated="1000"/></t:table-row>'
+        '<t:table-row t:number-rows-repeated="1048576"><t:table-cell t:number-columns-repeated="1024"/></t:table-row>'
+    )
+    body = f'<o:document-content xmlns:o="{o}" xmlns:t="{t}" xmlns:x="{x}"><o:body><o:spreadsheet><t:table t:name="One">{rows}</t:table></o:spreadsheet></o:body></o:document-content>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("content.xml", body)
+    assert office.sheets(out.getvalue()) == [("One", [["head", "", "", "3"], ["TRUE", "a bc"], ["TRUE", "a bc"]])]
+    assert [b["kind"] for b in office.read_xlsx(out.getvalue())] == ["heading", "paragraph", "paragraph", "paragraph"]
+
+
+def test_workbooks_of_an_export(spark):
+    from pyspark.sql import functions as F
+
+    from lodestar.operators import vector
+    from lodestar.sources import files, office
+
+    rows = spark.createDataFrame([(f"text <{i}> & \x01", [i / 4, -1.0]) for i in range(5)], "text string, vec array<double>").coalesce(1)
+    books = files.embedding_workbooks(vector.export_table(rows, "text", "vec", 2), rows_per_book=3).orderBy("part").collect()
+    read = [office.sheets(bytes(b.content))[0][1] for b in books]
+    assert [len(r) for r in read] == [4, 3] and read[0][0] == ["text", "emb_0", "emb_1"] and read[0][2] == ["text <1> & ", "0.250000", "-1.000000"]
+    first = files.read_one_column_workbook(spark.createDataFrame([("b.xlsx", bytearray(books[0].content))], "path string, content binary"))
+    assert [r.text for r in first.orderBy(F.col("pos")).collect()] == ["text <0> &", "text <1> &", "text <2> &"]
