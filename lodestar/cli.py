@@ -1,10 +1,10 @@
-"""python -m lodestar.cli insert STORE PATH... | search STORE QUERY [--hybrid] | delete STORE --doc ID"""
+"""python -m lodestar.cli insert STORE PATH... | search STORE QUERY [--hybrid] | delete STORE --doc ID --prefix URI --since DATE --until DATE | embed TEXT... [--model FILE --tokenizer FILE]"""
 
 from __future__ import annotations
 
 import argparse
 
-from lodestar.operators.filters import DocIdEq
+from lodestar.operators.filters import DocIdEq, RangeIsoDate, SourceUriPrefix
 from lodestar.plans.config import EngineConfig
 from lodestar.plans.engine import Engine
 from lodestar.session import get_session
@@ -24,8 +24,22 @@ def main(argv: list[str] | None = None) -> int:
     search.add_argument("--top-k", type=int, default=10)
     delete = commands.add_parser("delete")
     delete.add_argument("store")
-    delete.add_argument("--doc", required=True)
+    delete.add_argument("--doc")
+    delete.add_argument("--prefix")
+    delete.add_argument("--since")
+    delete.add_argument("--until")
+    delete.add_argument("--batch", type=int, default=1000)
+    embed = commands.add_parser("embed")
+    embed.add_argument("texts", nargs="+")
+    embed.add_argument("--model")
+    embed.add_argument("--tokenizer")
+    embed.add_argument("--dim", type=int, default=64)
     args = parser.parse_args(argv)
+    if args.command == "embed":
+        embedder = Engine(get_session(), EngineConfig(model_path=args.model, tokenizer_path=args.tokenizer, dim=args.dim)).embedder
+        for text, vector in zip(args.texts, embedder.embed(args.texts), strict=True):
+            print(f"{text}\t{embedder.model_id}\t{len(vector)}\t" + " ".join(f"{x:.6f}" for x in vector))
+        return 0
     engine = Engine(get_session(), EngineConfig(store_root=args.store))
     if args.command == "insert":
         for path in args.paths:
@@ -37,7 +51,10 @@ def main(argv: list[str] | None = None) -> int:
         for rank, hit in enumerate(hits.collect(), 1):
             print(f"{rank}. {hit['score']:.4f} {hit['chunk_id']} {hit['preview'][:60]}")
     else:
-        print(engine.delete_by_filter([DocIdEq(value=args.doc)]))
+        clauses = [DocIdEq(value=args.doc)] if args.doc else []
+        clauses += [SourceUriPrefix(prefix=args.prefix)] if args.prefix else []
+        clauses += [RangeIsoDate(key="extracted_at", low=args.since, high=args.until)] if args.since or args.until else []
+        print(engine.delete_by_filter(clauses, args.batch))
     return 0
 
 

@@ -77,9 +77,20 @@ def length_batches(lengths: list[int], most: int, first: int = 128, least: int =
             size = min(first, size * 2)
 
 
+def fixed_batches(lengths: list[int], size: int) -> Iterator[list[int]]:
+    """Places in batches of one size, in order; a failed batch is an error."""
+    for at in range(0, len(lengths), max(1, size)):
+        if (yield list(range(at, min(len(lengths), at + max(1, size))))) is False:
+            raise RuntimeError(f"a batch of {size} failed")
+
+
 @dataclass(frozen=True)
 class OnnxEmbedder:
-    """A model and tokenizer file from outside; masked mean pooling. Loaded once per Python worker."""
+    """A model and tokenizer file from outside; masked mean pooling. Loaded once per Python worker.
+
+    batch: a fixed number of texts a batch; None takes texts of similar length
+    together, and fewer after a failure.
+    """
 
     model_path: str
     tokenizer_path: str
@@ -87,6 +98,11 @@ class OnnxEmbedder:
     dim: int = 768
     max_tokens: int = 8192
     pad: str = "<pad>"
+    batch: int | None = None
+
+    def __post_init__(self):
+        if self.dim < 1 or self.max_tokens < 1 or (self.batch is not None and self.batch < 1):
+            raise ValueError("dim, max_tokens and batch are at least 1")
 
     def _load(self):
         import onnxruntime
@@ -120,7 +136,8 @@ class OnnxEmbedder:
             session, tokenizer = self._load()
             for texts in batches:
                 values, out = texts.fillna("").tolist(), [None] * len(texts)
-                plan = length_batches([len(v) for v in values], self.max_tokens)
+                sizes = [len(v) for v in values]
+                plan = length_batches(sizes, self.max_tokens) if self.batch is None else fixed_batches(sizes, self.batch)
                 try:
                     near = next(plan)
                     while True:

@@ -19,6 +19,7 @@ class EngineConfig:
     dim: int = 64
     max_tokens: int = 8192
     embed_batch_size: int = 64
+    embed_auto: bool = True
     analyzer: str = "words"
     strict_filters: bool = True
     chunk: SegmentParams = field(default_factory=SegmentParams)

@@ -31,12 +31,12 @@ class Engine:
     @staticmethod
     def _embedder(config: EngineConfig) -> Embedder:
         if config.model_path and config.tokenizer_path:
-            return OnnxEmbedder(config.model_path, config.tokenizer_path, dim=config.dim, max_tokens=config.max_tokens)
+            return OnnxEmbedder(config.model_path, config.tokenizer_path, dim=config.dim, max_tokens=config.max_tokens, batch=None if config.embed_auto else config.embed_batch_size)
         return HashEmbedder(dim=config.dim, max_chars=max(config.max_tokens, 8192))
 
     def reconfigure(self, config: EngineConfig) -> bool:
         """Takes over a configuration; True if that made another embedder."""
-        key = lambda c: (c.model_path, c.tokenizer_path, c.dim, c.max_tokens)
+        key = lambda c: (c.model_path, c.tokenizer_path, c.dim, c.max_tokens, c.embed_auto, c.embed_batch_size)
         changed = key(config) != key(self.config)
         if changed:
             self.embedder = self._embedder(config)
@@ -69,6 +69,13 @@ class Engine:
         manifest = self.store.manifest()
         return {"version": manifest["version"], "text_ready": "postings" in manifest["tables"], "vectors_ready": "vectors" in manifest["tables"], "embedder": self.embedder.model_id}
 
+    def warm_up(self) -> int:
+        """Loads the embedder by one text; the dimension of its vector, which has to be the configured one."""
+        got = len(self.embedder.embed(["warm-up"])[0])
+        if got != self.embedder.dim:
+            raise ValueError(f"the embedder gave {got} components, not {self.embedder.dim}")
+        return got
+
     def repo_counts(self) -> dict[str, int]:
         return self.store.counts()
 
