@@ -1,7 +1,9 @@
 """Rows that are easily lost or judged wrongly: clashing names, repeated and null ids, long words, crowds, small dimensions."""
 
 import hashlib
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -148,6 +150,43 @@ def test_repeated_labelled_ids_count_once(spark):
     assert np.allclose(once["w"], again["w"]) and once["cut"] == again["cut"]
 
 
+def naive_features(text):
+    """The features by plain loops over characters and words."""
+    text = text or ""
+    raw = text.encode("utf-8", "replace")
+    kinds = {"upper": 0, "lower": 0, "digit": 0, "stop": 0, "bang": 0, "bar": 0, "sign": 0, "mark": 0, "line": 0}
+    other = high = 0
+    for b in raw:
+        c = chr(b)
+        kind = "upper" if "A" <= c <= "Z" else "lower" if "a" <= c <= "z" else "digit" if "0" <= c <= "9" else "stop" if c in ".,;:?" else "bang" if c == "!" else "bar" if c == "|" else "sign" if c in "*#$%&^~" else "mark" if c in "@=<>{}[]\\_+/" else "line" if c == "\n" else None
+        if kind:
+            kinds[kind] += 1
+        elif b >= 128:
+            high += 1
+        elif b != 32:
+            other += 1
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    rate = lambda x, of: math.log((x + 0.002 * of) / (0.002 * of))
+    n, w = max(1, len(raw)), max(1, len(words))
+    repeats = sum(words[i] == words[i + 1] for i in range(len(words) - 1))
+    return [
+        math.log1p(len(words)), math.log1p(len(raw) / w), *(rate(x, n) for x in kinds.values()), rate(other, n), rate(high, n), rate(repeats, w), len(set(words)) / w**0.9,
+        1 - len(set(lines)) / len(lines) if lines else 0.0, rate(kinds["upper"], max(1.0, kinds["upper"] + kinds["lower"])),
+    ]
+
+
+def test_quality_equals_a_plain_loop(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    known = {(r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = sorted((i, q) for i, q in known if i in texts)
+    model = quality.fit(np.array([naive_features(texts[i]) for i, _ in rows]), np.array([q for _, q in rows]))
+    for r in quality.classify(docs, labels).collect():
+        u = sum((x - m) / s * w for x, m, s, w in zip(naive_features(texts[r.doc_id]), model["mean"], model["scale"], model["w"]))
+        score = 1 / (1 + math.exp(-(u - model["cut"] + math.log(0.3 / 0.7))))
+        assert r.score == pytest.approx(score, abs=1e-6) and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 # --- personal data ---
 
 
@@ -291,6 +330,28 @@ def test_url_model_on_held_out_urls(spark):
     assert np.mean(guess == [r[3] for r in test]) > 0.9
 
 
+def test_url_filter_equals_a_plain_loop(spark, sf_dir):
+    """Every page by itself: host, path and rule by plain string work, the model's verdict one URL at a time."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    plain = {}
+    for r in pages.collect():
+        host = path = ""
+        if "://" in (r.url or ""):
+            rest = r.url.split("://", 1)[1]
+            end = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+            host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end])
+            path = rest[end:].split("?")[0].split("#")[0]
+        fits = [(len(h + p), h + p, v) for v, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        plain[r.page_id] = (host, path, max(fits)[1:] if fits else (None, None))
+    ruled = sorted((h, p, v) for h, p, (_, v) in plain.values() if v)
+    model = urlfilter.fit([x[0] for x in ruled], [x[1] for x in ruled], np.array([float(x[2] == "block") for x in ruled]))
+    for r in urlfilter.judge(pages).collect():
+        host, path, (rule, verdict) = plain[r.page_id]
+        if verdict is None:
+            verdict = "block" if urlfilter._logits([host], [path], model)[0] >= 0 else "allow"
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
+
+
 # --- vectors ---
 
 
