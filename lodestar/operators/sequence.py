@@ -82,12 +82,14 @@ def orphans(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def unregistered(scanned: DataFrame, known: DataFrame, content: str = "content") -> DataFrame:
-    """Scanned rows (size, content) whose size and SHA-256 no known row (size, sha256) has; only rows of a known size are hashed."""
-    sizes = known.select("size").distinct()
-    fresh = scanned.join(sizes, "size", "left_anti")
-    maybe = scanned.join(sizes, "size", "left_semi").withColumn("sha256", F.sha2(content, 256))
-    maybe = maybe.join(known.select("size", "sha256").distinct(), ["size", "sha256"], "left_anti").drop("sha256")
-    return fresh.unionByName(maybe)
+    """Scanned rows (size, content) whose size and SHA-256 no known row (size, sha256) has.
+
+    Contents are hashed where they are read, so only sizes and hashes are
+    joined; contents move only if what follows keeps them.
+    """
+    hashed = scanned.withColumn("_sha256", F.sha2(content, 256))
+    registered = known.select(F.col("size").alias("_size"), F.col("sha256").alias("_known")).distinct()
+    return hashed.join(registered, (F.col("size") == F.col("_size")) & (F.col("_sha256") == F.col("_known")), "left_anti").drop("_sha256")
 
 
 def delete_report(matching: DataFrame, batch: int = 1000) -> DataFrame:
