@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import analyze
 from lodestar.operators import filters as flt
 from lodestar.plans.query_parser import parse
+from lodestar.session import spread
 
 K1, B = 1.2, 0.75
 HIT = "chunk_id string, score double, raw_score double"
@@ -35,7 +36,8 @@ class TextIndex:
     @property
     def stats(self) -> DataFrame:
         """One row: n documents and their mean length."""
-        return self.doclen.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+        # the ids are counted so that this reads the columns that scoring reads, and Spark deals rows out once for both
+        return self.doclen.agg(F.count("chunk_id").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
     def terms_of(self, text: str) -> list[str]:
         spark = self.postings.sparkSession
@@ -56,10 +58,19 @@ def _postings(at: DataFrame) -> DataFrame:
 
 
 def build(chunks: DataFrame, analyzer: str = "words", text: str = "text", key: str = "chunk_id") -> TextIndex:
-    """The index of all chunks. Terms are counted within their chunk before anything is shuffled."""
-    tokens = chunks.select(F.col(key).alias("chunk_id"), analyze.ANALYZERS[analyzer](F.col(text)).alias("tokens"))
-    tokens = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"), "tokens")
-    postings = _postings(tokens.select("chunk_id", "dl", F.posexplode("tokens").alias("position", "term")))
+    """The index of all chunks.
+
+    For the postings, chunks are dealt by id before they are split: their terms
+    are counted where they are, and tokens are not shuffled.
+    """
+    rows = chunks.select(F.col(key).alias("chunk_id"), F.col(text).alias("text"))
+
+    def tokens_of(df: DataFrame) -> DataFrame:
+        tokens = df.select("chunk_id", analyze.ANALYZERS[analyzer](F.col("text")).alias("tokens"))
+        return tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"), "tokens")
+
+    tokens = tokens_of(spread(rows))
+    postings = _postings(tokens_of(rows.repartition("chunk_id")).select("chunk_id", "dl", F.posexplode("tokens").alias("position", "term")))
     return TextIndex(postings, tokens.select("chunk_id", "dl"), analyzer, tokens)
 
 

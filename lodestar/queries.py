@@ -16,6 +16,7 @@ from lodestar.functions.embedding import HashEmbedder
 from lodestar.operators import filters as flt
 from lodestar.operators import fusion, pdftext, segment, sequence, textsearch, vector
 from lodestar.plans import templates
+from lodestar.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -388,7 +389,7 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?s)[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$'), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13))), lambda x: x <> '') s FROM documents))"""
 )
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "documents").select("doc_id", segment.sentences(F.col("text")).alias("s"))
+    s = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", segment.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
@@ -423,13 +424,13 @@ def visual_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def normalised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", pdftext.normalise_pages(F.col("text")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", pdftext.normalise_pages(F.col("text")).alias("text"))
 
 
 @query()
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in segments, with chunk ids."""
-    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(segment.segments_of_text(F.col("text"))).alias("pos", "s"))
+    s = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode_outer(segment.segments_of_text(F.col("text"))).alias("pos", "s"))
     return segment.chunks_of(s.select("doc_id", "pos", "s.*"))
 
 
