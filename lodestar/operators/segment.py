@@ -1,7 +1,8 @@
 """Size-bounded segmentation by scored boundaries, one document per call.
 
-Places and limits are UTF-8 bytes, as the sizes of stored chunks are; only the
-merge of short segments counts characters. A document's state is sequential,
+Places and limits are UTF-8 bytes, as the sizes of stored chunks are, or with
+`unit="chars"` characters; the merge of short segments always counts
+characters. A document's state is sequential,
 so it is a function of all its blocks, wrapped in one Arrow pass.
 """
 
@@ -41,6 +42,9 @@ _LINE_ENDS = re.compile(rb"\n\n|\n")
 _SENTENCE_ENDS = re.compile("[.!?]|。|！|？".encode())
 _LEADER = re.compile("[.]|…|・".encode())
 _LEADER_RUN = re.compile("(?:[.]|…|・)+".encode())
+#: by characters, a text is a byte for each: its own if it is ASCII, else one of what it counts as
+_ONE_BYTE = {0x01: "x", ord("。"): "!", ord("！"): "!", ord("？"): "!", ord("…"): "\x01", ord("・"): "\x01"}
+_ONE_BYTE_LEADER, _ONE_BYTE_RUN = re.compile(rb"[.\x01]"), re.compile(rb"[.\x01]+")
 Block = dict  # text, page_start, page_end, kind, heading_level, attrs
 
 
@@ -51,7 +55,8 @@ class _Text:
         parts = [(b.get("text") or "").replace("\r", "") for b in blocks]
         if params.block_sep:
             parts = [p + params.block_sep for p in parts[:-1]] + parts[-1:]
-        encoded = [p.encode("utf-8", "surrogatepass") for p in parts]
+        self.text = "".join(parts) if params.unit == "chars" else None
+        encoded = [p.encode("utf-8", "surrogatepass") if self.text is None else re.sub("[^\x00-\x7f]", "x", p.translate(_ONE_BYTE)).encode("ascii") for p in parts]
         self.data = b"".join(encoded)
         ends = np.cumsum([len(e) for e in encoded]).tolist()
         self.spans = [(end - len(e), end, b.get("page_start"), b.get("page_end")) for e, end, b in zip(encoded, ends, blocks, strict=True)]
@@ -59,10 +64,14 @@ class _Text:
         tables = [(s, e) for (s, e, *_), b in zip(self.spans, blocks, strict=True) if _is_table(b)]
         self.tables = sorted(tables, key=lambda t: t[0])
         self.table_starts = [t[0] for t in self.tables]
-        self.runs = [(m.start(), m.end(), len(_LEADER.findall(m.group()))) for m in _LEADER_RUN.finditer(self.data)]
+        leader, run = (_LEADER, _LEADER_RUN) if self.text is None else (_ONE_BYTE_LEADER, _ONE_BYTE_RUN)
+        self.runs = [(m.start(), m.end(), len(leader.findall(m.group()))) for m in run.finditer(self.data)]
         self.run_starts = [r[0] for r in self.runs]
         self._score(params)
 
+    def piece(self, start: int, end: int) -> str:
+        return self.data[start:end].decode("utf-8", "surrogatepass") if self.text is None else self.text[start:end]
+
     def _score(self, params: SegmentParams) -> None:
         lines = [(m.end(), BLANK_LINE if m.end() - m.start() == 2 else LINE_END) for m in _LINE_ENDS.finditer(self.data)]
         ends = [(m.end(), SENTENCE_END) for m in _SENTENCE_ENDS.finditer(self.data)]
@@ -131,7 +140,7 @@ def _is_table(block: Block) -> bool:
 
 
 def boundaries(blocks: list[Block], params: SegmentParams = SegmentParams()) -> list[tuple[int, float]]:
-    """(byte place, score) of every boundary of a document."""
+    """(place, score) of every boundary of a document."""
     text = _Text(blocks, params)
     return list(zip(text.places, map(float, text.scores), strict=True))
 
@@ -157,29 +166,18 @@ def _cut(text: _Text, start: int, params: SegmentParams) -> int:
 
 def segment(blocks: list[Block], params: SegmentParams = SegmentParams()) -> list[tuple[str, int | None, int | None]]:
     """(text, page_start, page_end) of each segment; one empty segment for blank input."""
-    if params.unit == "chars":  # the same rules on one-byte characters
-        return _by_chars(blocks, params)
     text = _Text(blocks, params)
-    decode = lambda a, b: text.data[a:b].decode("utf-8", "surrogatepass").rstrip(WHITE)
-    if not text.data.decode("utf-8", "surrogatepass").strip(WHITE):
-        return [("", None, None)]
     out, start, total = [], 0, len(text.data)
+    if not text.piece(0, total).strip(WHITE):
+        return [("", None, None)]
     while start < total:
         end = total if start + params.min_chars >= total else _cut(text, start, params)
-        if piece := decode(start, end):
+        if piece := text.piece(start, end).rstrip(WHITE):
             out.append((piece, *text.pages(start, end)))
         start = end
     return _merge_short(out, params) or [("", None, None)]
 
 
-def _by_chars(blocks: list[Block], params: SegmentParams) -> list[tuple[str, int | None, int | None]]:
-    """Limits in characters: segments as in bytes where all characters are ASCII, else by scaled limits of each document."""
-    joined = "".join((b.get("text") or "") for b in blocks)
-    scale = len(joined.encode("utf-8", "surrogatepass")) / max(1, len(joined))
-    grow = lambda n: max(1, round(n * scale))
-    return segment(blocks, SegmentParams(grow(params.min_chars), grow(params.max_chars), grow(params.cap_chars), params.penalize_short_line, params.penalize_page_boundary_no_newline, params.short_merge_min_chars, "bytes", params.block_sep))
-
-
 def _merge_short(pieces: list, params: SegmentParams) -> list:
     out: list = []
     least = lambda f, a, b: f((x for x in (a, b) if x is not None), default=None)

@@ -83,3 +83,40 @@ def test_blocks_table(spark):
     out = segment_blocks(blocks).orderBy("pos").collect()
     want = segment([{"text": r[3], "page_start": r[4], "page_end": r[5]} for r in rows])
     assert [(r.text, r.page_start, r.page_end) for r in out] == want
+
+
+def test_limits_in_characters():
+    """A character counts one, whatever its bytes; for ASCII both units agree."""
+    import random
+
+    from lodestar.operators.segment import SegmentParams, boundaries, segment
+
+    rng = random.Random(4)
+    words = ["word", "漢字", "ひらがな。", "end.", "naïve", "……", "line\n", "😀!", "・・・・"]
+    params = SegmentParams(min_chars=40, max_chars=60, cap_chars=80, short_merge_min_chars=0, unit="chars")
+    for _ in range(30):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 200)))
+        parts = [t for t, *_ in segment([{"kind": "paragraph", "text": text}], params)]
+        assert all(len(p) <= 80 for p in parts) and "".join("".join(parts).split()) == "".join(text.split())
+        assert all(len(p.rstrip()) >= 35 for p in parts[:-1] if "\n" not in p)
+        plain = text.encode("ascii", "ignore").decode()
+        for unit in ("chars", "bytes"):
+            both = SegmentParams(40, 60, 80, short_merge_min_chars=0, unit=unit)
+            assert segment([{"text": plain}], both) == segment([{"text": plain}], SegmentParams(40, 60, 80, short_merge_min_chars=0))
+    assert [at for at, _ in boundaries([{"text": "漢。a.\nb"}], SegmentParams(unit="chars"))] == [2, 4, 5]
+    assert [at for at, _ in boundaries([{"text": "漢。a.\nb"}])] == [6, 8, 9]
+
+
+def test_a_long_document_takes_time_in_its_length():
+    import time
+
+    from lodestar.operators.segment import segment
+
+    def took(n):
+        blocks = [{"text": f"Sentence {i} of a page. And one more of it.\n", "page_start": i // 20, "page_end": i // 20} for i in range(n)]
+        began = time.perf_counter()
+        assert len(segment(blocks)) > n // 20
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(80_000) < 20 * max(took(10_000), 0.05)
