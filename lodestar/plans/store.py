@@ -1,11 +1,15 @@
-"""A versioned store: immutable snapshot folders of Parquet tables, and a log of manifests of which the last is current.
-
-A write makes a new folder and then adds manifest n + 1, by a rename that fails
-if another writer has added it meanwhile: that write raises StaleWrite and
-changes nothing. Readers see all of a write or nothing; pinned() keeps one
-manifest for all that is read through it. Paths go through Hadoop's file
-system, so the store may lie anywhere. The text index is sorted by term, so a
-query's terms touch few row groups.
+"""A versioned store: immutable segments of Parquet tables, tombstones, and a log of manifests of which the last is current.
+
+A write adds segments that hold its own rows only, and tombstones: the keys of
+older rows that it replaces or deletes. A row counts if no tombstone of a later
+version has its key. The manifest names the segments and tombstones with their
+versions; compact() writes all live rows as one segment again, and a write that
+leaves MAX_SEGMENTS segments does so itself. Manifest n + 1 is added by a
+rename that fails if another writer has added it meanwhile: that write raises
+StaleWrite and changes nothing. Readers see all of a write or nothing; pinned()
+keeps one manifest for all that is read through it. Paths go through Hadoop's
+file system, so the store may lie anywhere. The text index is sorted by term,
+so a query's terms touch few row groups.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +29,9 @@ from lodestar.operators import filters as flt
 from lodestar.operators import textsearch
 
 TABLES = {"chunks": schema.CHUNKS, "files": schema.FILES, "vectors": schema.VECTORS, "postings": schema.POSTINGS, "doclen": "chunk_id string, dl bigint"}
+#: the key of each table, and whose tombstones count for it
+KEYS = {"chunks": ("chunk_id", "chunks"), "postings": ("chunk_id", "chunks"), "doclen": ("chunk_id", "chunks"), "vectors": ("chunk_id", "vectors"), "files": ("doc_id", "files")}
+MAX_SEGMENTS = 32
 
 
 class IndexNotReady(RuntimeError):
@@ -61,7 +69,7 @@ class Store:
             return self._pin
         versions = self._versions()
         if not versions:
-            return {"version": 0, "tables": {}}
+            return {"version": 0, "tables": {}, "gone": {}}
         row = self.spark.read.text(f"{self.root}/manifests/{versions[max(versions)]}", wholetext=True).first()
         return json.loads(row["value"])
 
@@ -82,30 +90,55 @@ class Store:
                 raise StaleWrite(f"version {manifest['version']} of {self.root} was written by another writer") from error
             raise
 
+    def _union(self, paths: list, ddl: str, version: str) -> DataFrame:
+        parts = [self.spark.read.schema(ddl).parquet(f"{self.root}/{path}").withColumn(version, F.lit(v)) for path, v in paths]
+        return reduce(DataFrame.unionAll, parts)
+
     def table(self, name: str) -> DataFrame:
-        path = self.manifest()["tables"].get(name)
-        if path is None:
+        manifest, (key, group) = self.manifest(), KEYS[name]
+        segments = manifest["tables"].get(name)
+        if not segments:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}")
-
-    def commit(self, tables: dict[str, DataFrame], base: dict | None = None) -> int:
-        """Writes tables as one snapshot on top of base (the manifest they were made from); the others stay as they are."""
+        rows = self._union(segments, TABLES[name], "_version")
+        later = [g for g in manifest["gone"].get(group, []) if g[1] > min(v for _, v in segments)]
+        if later:
+            gone = self._union(later, f"{key} string", "_until").groupBy(F.col(key).alias("_gone")).agg(F.max("_until").alias("_until"))
+            rows = rows.join(gone, (F.col(key) == F.col("_gone")) & (F.col("_version") < F.col("_until")), "left_anti")
+        return rows.drop("_version")
+
+    def commit(self, put: dict[str, DataFrame], base: dict | None = None, gone: dict[str, DataFrame] | None = None, whole: bool = False) -> int:
+        """Adds rows and tombstones on top of base (the manifest they were made from); whole: the rows are the tables from now on."""
         base = base or self.manifest()
-        version, paths = base["version"] + 1, dict(base["tables"])
-        folder = f"snapshots/{version:08d}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            paths[name] = f"{folder}/{name}"
+        version = base["version"] + 1
+        tables, tombs = ({name: [tuple(x) for x in paths] for name, paths in base[part].items()} for part in ("tables", "gone"))
+        folder = f"segments/{version:08d}-{uuid.uuid4().hex[:8]}"
+        for group, keys in (gone or {}).items():
+            path = f"{folder}/gone-{group}"
+            keys.write.parquet(f"{self.root}/{path}")
+            tombs[group] = [*tombs.get(group, []), (path, version)]
+        for name, df in put.items():
+            path = f"{folder}/{name}"
             rows = schema.conform(df, TABLES[name])
             if name == "postings":
                 rows = rows.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
-            rows.write.parquet(f"{self.root}/{paths[name]}")
+            rows.write.parquet(f"{self.root}/{path}")
+            tables[name] = [(path, version)] if whole else [*tables.get(name, []), (path, version)]
+        oldest = {group: min((v for name, paths in tables.items() if KEYS[name][1] == group for _, v in paths), default=version) for group in tombs}
+        tombs = {group: [t for t in paths if t[1] > oldest[group]] for group, paths in tombs.items()}
         try:
-            self._add({"version": version, "tables": paths})
+            self._add({"version": version, "tables": tables, "gone": tombs})
         except StaleWrite:
             self._delete(folder)
             raise
+        if not whole and max(map(len, tables.values()), default=0) > MAX_SEGMENTS:
+            self.compact()
         return version
 
+    def compact(self) -> int:
+        """Writes the live rows of every table as one segment."""
+        now = self.pinned()
+        return self.commit({name: now.table(name) for name in now.manifest()["tables"]}, now.manifest(), whole=True)
+
     def _delete(self, path: str) -> None:
         fs, at = self._fs(f"{self.root}/{path}")
         fs.delete(at, True)
@@ -154,28 +187,32 @@ class Store:
         fresh = schema.conform(chunks, schema.CHUNKS).where(scalars.is_valid_chunk(F.col("text")))
         last = Window.partitionBy("chunk_id").orderBy(F.col("ord").desc_nulls_last(), F.col("text").desc(), F.col("doc_id").desc())
         fresh, stage = self.staged(fresh.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n"), "chunks")
-        old = now.chunks
+        old = now.chunks.select("chunk_id", "doc_id", F.col("ord").alias("_ord"))
+        ids = fresh.select("chunk_id")
+        replaced, removed = old.join(ids, "chunk_id", "left_semi").select("chunk_id"), None
+        put = fresh
         if mode == "replace":
-            kept = old.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
-            put = fresh
+            removed = old.join(fresh.select("doc_id").distinct(), "doc_id", "left_semi").join(ids, "chunk_id", "left_anti").select("chunk_id")
         else:
-            places = old.select("chunk_id", F.col("ord").alias("_ord"))
-            put = fresh.join(places, "chunk_id", "left").withColumn("ord", F.coalesce("_ord", "ord")).drop("_ord")
-            kept = old.join(fresh.select("chunk_id"), "chunk_id", "left_anti")
-        merged = kept.unionByName(schema.conform(put, schema.CHUNKS))
-        tables = {"chunks": merged, **self._index(merged)}
+            put = fresh.join(old.select("chunk_id", "_ord"), "chunk_id", "left").withColumn("ord", F.coalesce("_ord", "ord")).drop("_ord")
+        tables = {"chunks": put, **self._index(fresh)}
+        gone = {"chunks": replaced if removed is None else replaced.unionAll(removed)}
+        stale = [] if removed is None else [removed]
         if vectors is not None:
             new = vectors(fresh) if callable(vectors) else vectors
             least = Window.partitionBy("chunk_id").orderBy("vec")
             new = schema.conform(new, schema.VECTORS).where("size(vec) = dim").withColumn("_n", F.row_number().over(least)).where("_n = 1").drop("_n")
-            live = now.vectors.join((fresh if callable(vectors) else new).select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
-            tables["vectors"] = live.join(merged.select("chunk_id"), "chunk_id", "left_semi")
+            known = ids if callable(vectors) else ids.unionAll(old.select("chunk_id") if removed is None else old.select("chunk_id").join(removed, "chunk_id", "left_anti"))
+            tables["vectors"] = new.join(known.distinct(), "chunk_id", "left_semi")
+            stale.append(ids if callable(vectors) else new.select("chunk_id"))
+        if stale:
+            gone["vectors"] = now.vectors.select("chunk_id").join(reduce(DataFrame.unionAll, stale), "chunk_id", "left_semi")
         if files is not None:  # last, so a failed write leaves no file without chunks
             first = Window.partitionBy("doc_id").orderBy("source_uri", "content_sha256")
-            new = schema.conform(files, schema.FILES).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-            tables["files"] = now.files.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+            tables["files"] = schema.conform(files, schema.FILES).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+            gone["files"] = now.files.select("doc_id").join(tables["files"], "doc_id", "left_semi")
         try:
-            return self.commit(tables, now.manifest())
+            return self.commit(tables, now.manifest(), gone)
         finally:
             self._delete(stage)
 
@@ -183,43 +220,42 @@ class Store:
         """Deletes the chunks of a filter with their vectors, postings and orphaned files; the report counts them."""
         if not clauses and not allow_all:
             raise ValueError("a delete without a filter takes everything: say allow_all=True")
-        total = self._keep_chunks(~flt.predicate(clauses), files=True)
+        total = self._bury(flt.predicate(clauses), files=True)
         return {"total_ids": total, "db_deleted": total, "text_delete_attempts": total, "vector_delete_attempts": total, "batches": -(-total // batch)}
 
     def delete_ids(self, ids: list[str]) -> dict:
-        total = self._keep_chunks(~F.coalesce(F.col("chunk_id").isin(*ids), F.lit(False)) if ids else F.lit(True))
+        total = self._bury(F.coalesce(F.col("chunk_id").isin(*ids), F.lit(False)) if ids else F.lit(False))
         return {"total_ids": total, "db_deleted": total}
 
-    def _keep_chunks(self, stays: Column, files: bool = False) -> int:
-        """Drops all chunks but those that stay from every table; how many went. The rows of the others are copied, not made anew."""
+    def _bury(self, where: Column, files: bool = False) -> int:
+        """Adds tombstones for chunks with their postings and vectors (and for files that are left without chunks); how many chunks."""
         now = self.pinned()
-        left, gone = now.chunks.where(stays), now.chunks.where(~stays).select("chunk_id")
-        total = gone.count()
-        tables = {"chunks": left} | {name: now.table(name).join(gone, "chunk_id", "left_anti") for name in ("postings", "doclen", "vectors")}
+        ids = now.chunks.where(where).select("chunk_id", "doc_id")
+        gone = {"chunks": ids.select("chunk_id"), "vectors": ids.select("chunk_id")}
         if files:
-            tables["files"] = now.files.join(left.select("doc_id"), "doc_id", "left_semi")
-        self.commit(tables, now.manifest())
+            gone["files"] = ids.select("doc_id").distinct().join(now.chunks.where(~where).select("doc_id"), "doc_id", "left_anti")
+        total = ids.count()
+        self.commit({}, now.manifest(), gone)
         return total
 
+    def _bury_files(self, now: Store, ids: DataFrame) -> int:
+        n = ids.count()
+        self.commit({}, now.manifest(), {"files": ids})
+        return n
+
     def delete_files(self, doc_ids: list[str]) -> int:
         """Deletes file records by document."""
         now = self.pinned()
-        gone = F.coalesce(F.col("doc_id").isin(*doc_ids), F.lit(False)) if doc_ids else F.lit(False)
-        n = now.files.where(gone).count()
-        self.commit({"files": now.files.where(~gone)}, now.manifest())
-        return n
+        return self._bury_files(now, now.files.where(F.col("doc_id").isin(*doc_ids) if doc_ids else F.lit(False)).select("doc_id"))
 
     def cleanup_orphans(self) -> int:
         """Drops file records without chunks."""
         now = self.pinned()
-        left = now.files.join(now.chunks.select("doc_id"), "doc_id", "left_semi")
-        n = now.files.count() - left.count()
-        self.commit({"files": left}, now.manifest())
-        return n
+        return self._bury_files(now, now.files.join(now.chunks.select("doc_id"), "doc_id", "left_anti").select("doc_id"))
 
     def rebuild_text_index(self) -> int:
         now = self.pinned()
-        return self.commit(self._index(now.chunks), now.manifest())
+        return self.commit(self._index(now.chunks), now.manifest(), whole=True)
 
     def rebuild_if_empty(self) -> bool:
         """Rebuilds the text index if it has no rows; whether it did."""
@@ -239,12 +275,14 @@ class Store:
         fs.delete(at, True)
 
     def vacuum(self) -> int:
-        """Deletes snapshot folders that the current manifest doesn't name, and all older manifests; how many folders."""
-        versions = self._versions()
-        used = {p.split("/")[1] for p in self.manifest()["tables"].values()}
+        """Compacts if rows were replaced or deleted, then deletes unnamed segments and all older manifests; how many folders of segments."""
+        if any(self.manifest()["gone"].values()):
+            self.compact()
+        versions, manifest = self._versions(), self.manifest()
+        used = {path.split("/")[1] for part in ("tables", "gone") for paths in manifest[part].values() for path, _ in paths}
         for version in sorted(versions)[:-1]:
             self._delete(f"manifests/{versions[version]}")
-        fs, at = self._fs(f"{self.root}/snapshots")
+        fs, at = self._fs(f"{self.root}/segments")
         gone = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName() not in used] if fs.exists(at) else []
         for path in gone:
             fs.delete(path, True)

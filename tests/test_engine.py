@@ -85,10 +85,41 @@ def test_of_two_writers_one_is_told(spark, tmp_path):
     assert {r.chunk_id for r in store.chunks.collect()} == {"c2", "c3"} and store.manifest()["version"] == 2
     assert {r.chunk_id for r in pinned.chunks.collect()} == {"c1", "c2", "c3"}  # still the version it was made from
     assert {r.chunk_id for r in store.text_index().postings.collect()} == {"c2", "c3"}
-    assert not store.rebuild_if_empty() and store.vacuum() >= 1 and store.manifest()["version"] == 2
+    assert not store.rebuild_if_empty() and store.vacuum() >= 1 and store.manifest()["version"] == 3  # compacted
+    assert {r.chunk_id for r in store.chunks.collect()} == {"c2", "c3"}
     assert not list((tmp_path / "store").glob("staging/*")) and not list((tmp_path / "store").glob("manifests/*.tmp"))
 
 
+def test_writes_add_their_own_rows_only(spark, tmp_path, monkeypatch):
+    """Segments of a write hold its rows, a delete adds keys; compaction keeps what is live."""
+    store, root = Store(spark, f"file://{tmp_path}/store"), f"file://{tmp_path}/store"
+    many = [(f"k{i}", f"d{i % 50}", f"text number {i}", "2024", i, "u", {}) for i in range(200)]
+    files = spark.createDataFrame([(f"d{i}", "u") for i in range(50)], "doc_id string, source_uri string")
+    store.upsert(chunks(spark, many), files)
+    one = [("new", "d7", "another text", "2024", 0, "u", {}), ("k9", "d9", "text put again", "2024", 0, "u", {})]
+    store.upsert(chunks(spark, one[:1]), mode="replace")
+    store.upsert(chunks(spark, one[1:]), mode="upsert")
+    written = lambda name: [spark.read.parquet(f"{root}/{path}").count() for path, _ in store.manifest()["tables"][name]]
+    assert written("chunks") == [200, 1, 1] and written("doclen") == [200, 1, 1] and sum(written("postings")[1:]) == 5
+    want = {c: t for c, d, t, *_ in many if d != "d7"} | {"new": "another text", "k9": "text put again"}
+    assert {r.chunk_id: r.text for r in store.chunks.collect()} == want
+    assert {r.ord for r in store.chunks.where("chunk_id = 'k9'").collect()} == {9}
+    store.delete([flt.DocIdEq(value="d7")])
+    assert store.delete_ids(["k9", "none"])["db_deleted"] == 1 and written("chunks") == [200, 1, 1]
+    live = set(want) - {"new", "k9"}
+    assert {r.chunk_id for r in store.chunks.collect()} == live == {r.chunk_id for r in store.text_index().doclen.collect()}
+    assert {r.doc_id for r in store.files.collect()} == {f"d{i}" for i in range(50)} - {"d7"}
+    before = store.counts()
+    store.compact()
+    assert store.counts() == before and written("chunks") == [len(live)] and not any(store.manifest()["gone"].values())
+    assert store.vacuum() >= 4 and store.counts() == before
+    store.upsert(chunks(spark, one))  # ids that were deleted come back
+    assert {r.chunk_id for r in store.chunks.collect()} == {i for i in live if want[i] and int(i[1:]) % 50 not in (7, 9)} | {"new", "k9"}
+    monkeypatch.setattr("lodestar.plans.store.MAX_SEGMENTS", 2)
+    store.upsert(chunks(spark, one[:1]), mode="upsert")
+    assert len(store.manifest()["tables"]["chunks"]) == 1
+
+
 def test_vectors_are_those_of_the_chunks_that_stay(spark, engine):
     twice = chunks(spark, [("c1", "d1", "old text", "2024", 0, "u", {}), ("c1", "d1", "new text", "2024", 1, "u", {})])
     engine.ingest_chunks(twice)
