@@ -296,10 +296,16 @@ def _entities(text: str, words: list[tuple[int, int]], model: Model, part: int =
     return out
 
 
+def _lowered(text: str) -> str:
+    """text with A-Z lower-cased at the same places: lower() where it keeps the length, as it nearly always does, else letter by letter."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ASCII)
+
+
 def added_spans(text: str, base: list[tuple[int, int, str]], model: Model) -> list[tuple[int, int, str]]:
     """What the CRF adds: entities in the stretches around signs that no base span covers."""
     signs = [m.start() for m in _SIGN.finditer(text)]
-    low = text.translate(_ASCII)
+    low = _lowered(text)
     for s in _SPELLED:
         at = low.find(s)
         while at >= 0:
@@ -345,8 +351,10 @@ def added_spans(text: str, base: list[tuple[int, int, str]], model: Model) -> li
 def find(text: str | None, model: Model) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) of a text."""
     text = text or ""
-    if not _SIGN.search(text) and not any(s in text.translate(_ASCII) for s in _SPELLED):
-        return [], []
+    if not _SIGN.search(text):
+        low = _lowered(text)
+        if not any(s in low for s in _SPELLED):
+            return [], []
     base = base_spans(text)
     return base, sorted(base + added_spans(text, base, model), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
