@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -25,7 +27,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}.zip"
+    folder = tempfile.mkdtemp(prefix="ship-")  # the driver serves it from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
