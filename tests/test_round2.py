@@ -28,3 +28,12 @@ def test_ties_of_number_formats(spark, tmp_path, name):
     odd = [9 / 128, -9 / 128, 11 / 128, 0.5, float("nan"), float("inf"), 3.0e20, -0.0]
     data = [(1, odd * 8, 0), (2, [j / 8192 for j in range(64)], 1), (3, [1 / 3] * 63 + [1 / 8192], 1)]
     same_as_sql(spark, tmp_path, [name], embeddings=(data, "vec_id long, embedding array<float>, label int"))
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_sentences_of_blank_texts(spark, tmp_path):
+    texts = ["", " \n ", None, "One. Two!  three", "...", "\u3000", "a.\u3000b"]
+    data = [(i, t, "en", "src0", 0) for i, t in enumerate(texts)]
+    same_as_sql(spark, tmp_path, ["sentence_split"], documents=(data, DOCUMENTS))
