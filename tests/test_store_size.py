@@ -13,6 +13,18 @@ ROW = "chunk_id string, doc_id string, text string, ord long"
 MOVES = ("Window", "Sort", "RepartitionByExpression", "Repartition ")
 
 
+def plans_of(monkeypatch) -> list[tuple[str, str]]:
+    """(name of the table, optimized plan) of each table that a store writes."""
+    seen, write = [], Store._write
+
+    def noted(self, df, path):
+        seen.append((path.rpartition("/")[2], df._jdf.queryExecution().optimizedPlan().toString()))
+        write(self, df, path)
+
+    monkeypatch.setattr(Store, "_write", noted)
+    return seen
+
+
 def many(spark, n=60):
     return spark.createDataFrame([(f"c{i}", f"d{i}", " ".join(f"t{(i * j) % 7}" for j in range(i % 12)) + " end", i) for i in range(n)], ROW)
 
@@ -35,6 +47,30 @@ def test_postings_come_in_sorted_runs(spark, monkeypatch):
     assert 1 <= breaks <= 2 * total // 200
 
 
+@pytest.mark.parametrize("name", ["chunks", "postings"])
+def test_an_ingest_moves_no_text(spark, tmp_path, monkeypatch, name):
+    """Chunks and postings of files are written where they are made; both were dealt out and sorted before."""
+    seen = plans_of(monkeypatch)
+    engine = Engine(spark, EngineConfig(store_root=f"file://{tmp_path}/store", dim=8), HashEmbedder(dim=8))
+    files = spark.createDataFrame([(f"in/{i}.txt", bytearray(f"text number {i}".encode()), 14) for i in range(9)], "path string, content binary, size long").selectExpr("*", "timestamp'2024-01-02' AS modified")
+    engine.ingest_files(files, at="2024-01-01T00:00:00Z")
+    plans = [plan for table, plan in seen if table.startswith(name)]
+    assert plans and not any(word in plan for plan in plans for word in MOVES)
+    assert engine.chunks.count() == 9 and engine.search_text("number", 20).count() == 9 and engine.postings.count() == 27
+    assert not list((tmp_path / "store").glob("staging/*"))
+
+
+def test_of_repeated_ids_the_last_row_stays(spark, tmp_path):
+    """Also of ids that are null; rows of other ids are left alone."""
+    rows = [("a", "d", "one", 1), ("a", "d", "two", 2), ("a", "d", "three", None), ("b", "d", "x", 1), ("b", "d", "y", 1), ("c", "d", "z", 1), (None, "d", "u", 1), (None, "d", "v", 2)]
+    for mode in ("replace", "upsert"):
+        store = Store(spark, f"file://{tmp_path}/{mode}")
+        store.upsert(spark.createDataFrame(rows, ROW), mode=mode)
+        assert sorted((str(r.chunk_id), r.text) for r in store.chunks.collect()) == [("None", "v"), ("a", "two"), ("b", "y"), ("c", "z")]
+        assert sorted(r.term for r in store.text_index().postings.collect()) == ["two", "v", "y", "z"]
+        assert not list((tmp_path / mode).glob("staging/*"))
+
+
 def test_compaction_sorts_postings_as_a_whole(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     store.upsert(many(spark))
