@@ -71,6 +71,30 @@ def test_of_repeated_ids_the_last_row_stays(spark, tmp_path):
         assert not list((tmp_path / mode).glob("staging/*"))
 
 
+@pytest.mark.parametrize("most", [0, 4 << 20])
+def test_tombstones_sort_no_rows(spark, tmp_path, monkeypatch, most):
+    """Few are broadcast, many are dealt by key, and neither way sorts rows, as was done before when they weren't small enough to be broadcast by themselves."""
+    monkeypatch.setattr(stores, "BROADCAST_BYTES", most, raising=False)
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        store = Store(spark, f"file://{tmp_path}/store")
+        store.upsert(many(spark))
+        store.upsert(many(spark).where("ord % 3 = 0").selectExpr("chunk_id", "doc_id", "'again' AS text", "ord + 100 AS ord"), mode="upsert")
+        store.delete_ids(["c1", "c3"])
+        store.upsert(spark.createDataFrame([("c3", "d3", "back", 3)], ROW), mode="upsert")
+        postings = store.table("postings")
+        plan = postings._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and ("ShuffledHashJoin" in plan) == (most == 0)
+        got = {r.chunk_id: (r.text, r.ord) for r in store.chunks.collect()}
+        texts = {r.chunk_id: (r.text, r.ord) for r in many(spark).collect()}
+        want = {c: ("again", o) if o % 3 == 0 else (t, o) for c, (t, o) in texts.items() if c != "c1"} | {"c3": ("back", 3)}
+        assert got == want
+        assert sorted((r.term, r.chunk_id) for r in postings.collect()) == sorted({(w, c) for c, (t, _) in want.items() for w in t.split()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
+
 def test_compaction_sorts_postings_as_a_whole(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     store.upsert(many(spark))
