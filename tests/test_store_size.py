@@ -17,9 +17,9 @@ def plans_of(monkeypatch) -> list[tuple[str, str]]:
     """(name of the table, optimized plan) of each table that a store writes."""
     seen, write = [], Store._write
 
-    def noted(self, df, path):
+    def noted(self, df, path, *codec):
         seen.append((path.rpartition("/")[2], df._jdf.queryExecution().optimizedPlan().toString()))
-        write(self, df, path)
+        write(self, df, path, *codec)
 
     monkeypatch.setattr(Store, "_write", noted)
     return seen
@@ -71,7 +71,7 @@ def test_of_repeated_ids_the_last_row_stays(spark, tmp_path):
         assert not list((tmp_path / mode).glob("staging/*"))
 
 
-@pytest.mark.parametrize("most", [0, 4 << 20])
+@pytest.mark.parametrize("most", [0, 16 << 20])
 def test_tombstones_sort_no_rows(spark, tmp_path, monkeypatch, most):
     """Few are broadcast, many are dealt by key, and neither way sorts rows, as was done before when they weren't small enough to be broadcast by themselves."""
     monkeypatch.setattr(stores, "BROADCAST_BYTES", most, raising=False)
@@ -95,6 +95,15 @@ def test_tombstones_sort_no_rows(spark, tmp_path, monkeypatch, most):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
 
 
+def test_size_of_tombstones_bounds_their_number(spark, tmp_path):
+    """Regular ids, which would be compressed to less than a byte each, take their own bytes: their size decides how they are joined."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.upsert(spark.range(20_000).selectExpr("concat('k', lpad(id, 8, '0')) AS chunk_id", "'d' AS doc_id", "'a' AS text", "id AS ord"))
+    store.delete([], allow_all=True)
+    (path, _), = store.manifest()["gone"]["chunks"]
+    assert store._bytes(path) >= 20_000 * 9 and store.chunks.isEmpty()
+
+
 def test_compaction_sorts_postings_as_a_whole(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     store.upsert(many(spark))
